@@ -98,7 +98,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = cut(d.mapInPandas(_describe(bands, rows, words), "id long, n long, digest binary, keys array<long>"))
-    # min_by keeps the keys of the class's first row; equal sets have equal keys.
+    # Equal sets have equal keys, so any row of the class will do.
     classes = cut(described.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
     buckets = classes.select(F.col("rep").alias("v"), "n", F.posexplode("keys").alias("band", "key"))
     crowded = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
