@@ -57,8 +57,8 @@ def base_spans(text: Column) -> Column:
     }
     found = []
     for kind, (pattern, guard) in guards.items():
-        good = F.filter(_found(text, pattern, guard), lambda x: ok[k](x["m"]))
-        found.append(F.transform(good, lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["m"].alias("value"))))
+        good = F.filter(_found(text, pattern, guard), lambda x: ok[kind](x["m"]))
+        found.append(F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["m"].alias("value"))))
     return F.concat(*found)
 
 

@@ -140,9 +140,11 @@ def test_op9(spark):
 
 
 def test_op9_terms(spark):
-    rows = [f"my nickname zorbulator{'x' * (i % 2)} is at jo@ex.com number {i} and more words here" for i in range(8)] + [f"my number {i} and more words here is plain at noon" for i in range(40)] + ["who is zorbulator really"]
+    # 49 texts; the entity is in 8. zorbulator: 8 of its 9 texts, PMI / IC = 0.93; grumbly: 4 of 5, 0.88, under the threshold.
+    rows = [f"my nickname zorbulator {'grumbly' if i % 2 else 'and'} is at jo@ex.com number {i}" for i in range(8)] + [f"my number {i} and more words here is plain at noon" for i in range(39)]
+    rows += ["who is zorbulator really", "who is grumbly really"]
     got = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, rows)).collect()}
-    assert got[48] == "who is <TERM> really" and got[20] == rows[20] and "jo@ex.com" not in got[0]
+    assert got[47] == "who is <TERM> really" and got[48] == rows[48] and got[20] == rows[20] and "jo@ex.com" not in got[0]
 
 
 def test_op5(spark):
