@@ -38,9 +38,9 @@ def perf_steps(s, d):
     """Mean value per day and event type against the day before: change in percent and verdict."""
     m = table(s, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg((F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value")).alias("mean"))
     w = Window.partitionBy("event_type").orderBy("day")
-    p = m.withColumn("before", F.lag("mean").over(w)).where("before is not null and before <> 0").withColumn("percent", F.round((F.col("mean") - F.col("before")) * 100 / F.col("before"), 3))
+    p = m.withColumn("before", F.lag("mean").over(w)).where("before is not null and before <> 0").withColumn("percent", F.round((F.col("mean") - F.col("before")) * 100 / F.col("before"), 6))
     verdict = F.when(F.col("percent") > 20, "regressed").when(F.col("percent") < -20, "improved").otherwise("steady")
-    return p.select("event_type", F.col("day").cast("string").alias("day"), F.round("percent", 2).alias("percent"), verdict.alias("verdict"))
+    return p.select("event_type", F.col("day").cast("string").alias("day"), "percent", verdict.alias("verdict"))
 
 
 def memory_asof(s, d):
@@ -118,8 +118,8 @@ ORACLE_SQL = {
     "commit_hotspots": "SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20",
     "cochange_pairs": "WITH b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS part_a, y.l_partkey AS part_b, count(*) AS n FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2",
     "perf_steps": """WITH m AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS mean FROM events GROUP BY 1, 2),
-b AS (SELECT *, lag(mean) OVER (PARTITION BY event_type ORDER BY day) AS before FROM m), p AS (SELECT *, round((mean - before) * 100 / before, 3) AS percent FROM b WHERE before IS NOT NULL AND before <> 0)
-SELECT event_type, CAST(day AS VARCHAR) AS day, round(percent, 2) AS percent, CASE WHEN percent > 20 THEN 'regressed' WHEN percent < -20 THEN 'improved' ELSE 'steady' END AS verdict FROM p""",
+b AS (SELECT *, lag(mean) OVER (PARTITION BY event_type ORDER BY day) AS before FROM m), p AS (SELECT *, round((mean - before) * 100 / before, 6) AS percent FROM b WHERE before IS NOT NULL AND before <> 0)
+SELECT event_type, CAST(day AS VARCHAR) AS day, percent, CASE WHEN percent > 20 THEN 'regressed' WHEN percent < -20 THEN 'improved' ELSE 'steady' END AS verdict FROM p""",
     "memory_projection_asof": """SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-01-15') WHERE k = 1""",
     "token_budget_fit": "SELECT conv_id, turn, role, used FROM (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations) WHERE used <= 400",
     "event_contract_verdicts": """WITH g AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS producers, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS consumers FROM events GROUP BY 1)
