@@ -67,6 +67,13 @@ def _band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(s: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """A bitmap as longs, one bit per element by hash: two sets differ in at least as many elements as bitmaps in bits."""
+    on = np.zeros(bits, bool)
+    on[(s >> np.uint64(7)) % np.uint64(bits)] = True
+    return np.packbits(on).view(np.int64)
+
+
 def _describe(bands: int, rows: int, words: int):
     def run(batches):
         for pdf in batches:
@@ -74,7 +81,7 @@ def _describe(bands: int, rows: int, words: int):
             keys = _band_keys(signatures(sets, bands * rows), bands, rows) if len(sets) else np.empty((0, bands), np.int64)
             yield pd.DataFrame({
                 "id": pdf["id"], "n": [len(s) for s in sets],
-                "digest": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "keys": list(keys),
+                "digest": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "keys": list(keys), "bits": [sketch(s) for s in sets],
             })
     return run
 
@@ -86,55 +93,51 @@ def _sets(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, kept. Links: 100 * shared >= percent * union of the shingle sets.
 
     Equal sets form a class, of which the least id stands for all. Each bucket of a band holds
     class representatives only; it is checked in rounds, every member against the bucket's
-    first one, and after each round members already in one component are not compared again, so a
-    bucket of copies costs a few rows per member. Links are confirmed on the full sets.
+    first one, and members already in one component are not compared again, so a bucket of copies
+    costs a few rows per member. After the rounds, the members of a bucket that still lie in
+    unlike components are compared with each other. Links are confirmed on the full sets.
     Null or wordless texts have n_shingles 0 and their own component. ids are taken as unique
     (repeated ids fall together); other columns of docs are not read; no rows give no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = cut(d.mapInPandas(_describe(bands, rows, words), "id long, n long, digest binary, keys array<long>"))
+    described = cut(d.mapInPandas(_describe(bands, rows, words), "id long, n long, digest binary, keys array<long>, bits array<long>"))
     # Equal sets have equal keys, so any row of the class will do.
-    classes = cut(described.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
-    buckets = classes.select(F.col("rep").alias("v"), "n", F.posexplode("keys").alias("band", "key"))
+    classes = cut(described.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    buckets = classes.select(F.col("rep").alias("v"), "n", "bits", F.posexplode("keys").alias("band", "key"))
     crowded = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     # Buckets with one member are most of all; only the others are kept.
     members = cut(buckets.join(crowded.drop("size"), ["band", "key"]))
-    links, labels, done = None, None, None
-    last = False
-    for turn in range(64):
-        m = members
-        if labels is not None:
-            m = m.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+    # The full sets of what shares a bucket are made once, as one table that all rounds read.
+    sets = cut(d.join(members.select(F.col("v").alias("id")).distinct(), "id", "left_semi").mapInPandas(_sets(words), "id long, bits binary"))
+    links, labels = None, None
+    # Exact bounds, before any set is read: by size, and by the bits in which the sketches differ.
+    near_size = (
+        f"100 * least({{x}}n, {{y}}.n) >= {percent} * greatest({{x}}n, {{y}}.n) and aggregate(zip_with({{x}}bits, {{y}}.bits, (i, j) -> bit_count(i ^ j)), 0, (s, z) -> s + z)"
+        f" * {100 + percent} <= ({{x}}n + {{y}}.n) * {100 - percent}"
+    )
+    for turn in range(rounds + 1):
+        m = members.withColumn("c", F.col("v")) if labels is None else members.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+        heads = m.groupBy("band", "key").agg(F.min(F.struct("v", "n", "c", "bits")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "key", "h")
+        open_ = cut(m.join(heads, ["band", "key"]))
+        if open_.isEmpty():
+            break
+        if turn < rounds:
+            pairs = open_.where("c <> h.c").where(near_size.format(x="", y="h")).select(F.col("h.v").alias("a"), F.col("v").alias("b"))
         else:
-            m = m.withColumn("c", F.col("v"))
-        heads = m.groupBy("band", "key").agg(F.min(F.struct("v", "n", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        open_ = m.drop("c0").join(heads.select("band", "key", "h"), ["band", "key"])
-        pairs = open_.where("v <> h.v and c <> h.c").where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
-        pairs = pairs.select(F.least("v", "h.v").alias("a"), F.greatest("v", "h.v").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(_confirm(d, pairs, percent, words))
-        members = cut(open_.where("v <> h.v").select("v", "n", "band", "key"))  # the head has met all others
-        done = pairs if done is None else cut(done.unionByName(pairs))
+            # What few rounds did not settle: members of unlike components, each pair at its first shared bucket or later ones.
+            x, y = open_.alias("x"), open_.alias("y")
+            on = F.expr("x.band = y.band and x.key = y.key and x.v < y.v and x.c <> y.c")
+            pairs = x.join(y, on & F.expr(near_size.format(x="x.", y="y"))).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+        found = cut(_confirm(sets, cut(pairs.distinct()), percent))
+        members = open_.where("v <> h.v").select("v", "n", "bits", "band", "key")  # the head has met all others
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        if members.isEmpty():
-            last = True
-            break
-    if not last:
-        # Buckets with over 64 components left: the rest pairs up by size, each pair once.
-        x, y = members.alias("x"), members.alias("y")
-        rest = x.join(y, ["band", "key"]).where(f"x.v < y.v and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        found = cut(_confirm(d, cut(rest.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct().join(done, ["a", "b"], "left_anti")), percent, words))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
     reps = classes.select("digest", "rep")
     if labels is not None:
         reps = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
@@ -145,10 +148,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _confirm(d: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs whose full sets meet the bound; only texts in some pair are read into sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = d.join(ids, "id", "left_semi").mapInPandas(_sets(words), "id long, bits binary")
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets meet the bound."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
 
     @F.pandas_udf("boolean")
