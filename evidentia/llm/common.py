@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """As cut(), but as a compressed Parquet table, for what is large; it stays until the folder is cleared."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df under spark.checkpoint.dir, so a lost executor costs no more than a reread."""
     sc = df.sparkSession.sparkContext

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, cut_table, table
 
 #: Token frequencies are kept by hash bucket, so the table is this long whatever the vocabulary.
 FREQUENCY_BUCKETS = 4096
+#: Sets in candidate pairs are first told apart by this many hash slots, whatever their number.
+SLOTS = 131_072
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     long_enough = f"n * 100 >= {percent} * (n + 1) "
     grams = sets.where(f"{long_enough} or (n - 1) * 100 >= {percent} * n")
     prefix = grams.select("set", "n", F.posexplode(F.expr(f"slice(o, 1, n - {least} + 1)")).alias("p", "w")).groupBy("set", "n", "p", "w").agg(F.lit(1).alias("one")).drop("one")
-    prefix = cut(prefix)
+    prefix = cut_table(prefix)
     x, y = prefix.alias("x"), prefix.alias("y")
     # Shared by sets of sizes n and m at that similarity: at least percent * (n + m) / (100 + percent).
     bound = f"(1 + least(x.n - x.p, y.n - y.p) - 1) * {100 + percent} >= {percent} * (x.n + y.n)"
@@ -50,7 +52,11 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     firsts = classes.join(wanted, "set", "left_semi").select("set", "first.id", "first.line")
-    tokens = sets.select("id", "line", "o").join(firsts, ["id", "line"]).select("set", "o")
+    # Most lines are in no pair: a bounded table of hash slots keeps their tokens out of the shuffle.
+    slot = F.pmod(F.col("set"), F.lit(SLOTS)).cast("int")
+    on = {r[0] for r in wanted.select(slot).distinct().collect()}
+    flags = F.split(F.lit(",".join("1" if i in on else "0" for i in range(SLOTS))), ",").cast("array<boolean>")
+    tokens = sets.where(F.element_at(flags, slot + 1)).select("id", "line", "o").join(firsts, ["id", "line"]).select("set", "o")
     both = pairs.join(tokens.select(F.col("set").alias("a"), F.col("o").alias("p")), "a").join(tokens.select(F.col("set").alias("b"), F.col("o").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     links = cut(both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select("a", "b"))
