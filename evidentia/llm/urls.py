@@ -72,7 +72,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules=RULES, url_col: str
     rules = list(rules)
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: split the list")
-    base = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"rules-{xxhash.xxh64_hexdigest(repr(rules))}")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    base = os.path.join(folder, f"rules-{os.path.basename(folder)}")  # Spark registers a file name once
     for path in DigestArray.write(rules, base):  # the driver serves these files to its executors
         spark.sparkContext.addFile(path)
     name = os.path.basename(base)
