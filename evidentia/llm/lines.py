@@ -5,66 +5,89 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, cut_table, table
+from .common import SPACE, cut, table
 
-#: Token frequencies are kept by hash bucket, so the table is this long whatever the vocabulary.
-FREQUENCY_BUCKETS = 4096
-#: Sets in candidate pairs are first told apart by this many hash slots, whatever their number.
+#: Token frequencies are kept by hash slot, so the table is this long whatever the vocabulary.
+FREQUENCY_SLOTS = 131_072
+#: Texts in candidate pairs are first told apart by this many hash slots, whatever their number.
 SLOTS = 131_072
+#: A line text with more than one in so many of all lines is common: there are fewer such texts than this.
+COMMON = 4096
+
+
+def _table(values: list, kind: str):
+    """A constant array of a fixed number of values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line, words): every line of every text with its distinct 64-bit token hashes."""
-    d = docs.select(F.col("id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = F.array_distinct(F.transform(F.filter(F.split("t", SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    return d.select("id", F.col("line").cast("long"), words.alias("words")).where("size(words) > 0")
+    """(id, line, t, key): every line with at least one word, and the hash of its text."""
+    d = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("id", F.col("line").cast("long"), F.btrim("t", F.lit(" \t\v\f\r")).alias("t"))
+    return d.where("t <> ''").withColumn("key", F.xxhash64("t"))
+
+
+def _tokens(t):
+    """Distinct 64-bit hashes of a text's words."""
+    return F.array_distinct(F.transform(F.split(t, SPACE), lambda w: F.xxhash64(w)))
+
+
+def _rarity(lines: DataFrame):
+    """Function of a token: its place in the order by rarity, a long. Slots hold eighths of log2 of their counts."""
+    slot = lambda w: F.pmod(w, F.lit(FREQUENCY_SLOTS))
+    words = lines.select(F.explode(F.split("t", SPACE)).alias("w")).select(slot(F.xxhash64("w")).cast("int").alias("k"))
+    seen = {r["k"]: r["e"] for r in words.groupBy("k").agg(F.round(8 * F.log2(F.count("*"))).cast("int").alias("e")).collect()}  # at most FREQUENCY_SLOTS rows
+    freq = F.struct(_table([seen.get(k, 0) for k in range(FREQUENCY_SLOTS)], "int").alias("f"))
+    # Eighths of log2 of a count fit ten bits; the token's other bits break ties.
+    return lambda w: F.shiftleft(F.get(freq["f"], slot(w).cast("int")).cast("long"), 53).bitwiseOR(F.shiftrightunsigned(w, 11))
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(id, line) of each line that an earlier line (by id, line) equals to Jaccard percent / 100 or more, as token sets.
 
     Tokens are ordered by rarity; two sets that similar share a token in their prefixes, and the
-    positions and lengths there bound what they can share. Equal sets are one class, so copies
+    positions and lengths there bound what they can share. Equal texts are one class, so copies
     make no pairs. Lines without tokens never match.
     """
     lines = _lines(docs)
-    counted = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(FREQUENCY_BUCKETS)).cast("int").alias("k")).agg(F.count("*").alias("n"))
-    seen = {r["k"]: r["n"] for r in counted.collect()}  # at most FREQUENCY_BUCKETS rows
-    freq = F.split(F.lit(",".join(str(seen.get(k, 0)) for k in range(FREQUENCY_BUCKETS))), ",").cast("array<long>")
-    common = F.struct(freq.alias("f"))
-    ordered = F.transform(
-        F.array_sort(F.transform("words", lambda w: F.struct(common["f"][F.pmod(w, F.lit(FREQUENCY_BUCKETS)).cast("int")].alias("f"), w.alias("w")))), lambda s: s["w"]
-    )
-    sets = lines.select("id", "line", ordered.alias("o")).select("id", "line", "o", F.size("o").alias("n"), F.xxhash64("o").alias("set"))
-    at = sets.select("id", "line", "set", "n")
-    classes = cut(at.groupBy("set", "n").agg(F.min(F.struct("id", "line")).alias("first")))
+    rank = _rarity(lines)
+    at = lines.select("id", "line", "key")
+    classes = cut(at.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies")))
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    common = classes.where((F.col("copies") > total / COMMON) & (F.col("copies") > 1)).select("key", "first.id", "first.line").collect()  # fewer than COMMON
+    heads = [f"{r['id']}:{r['line']}" for r in common]
+    once = lines.where(~F.col("key").isin([r["key"] for r in common]) | F.concat_ws(":", "id", "line").isin(heads)) if common else lines
+
+    ranked = F.sort_array(F.transform(_tokens("t"), rank))
     least = f"cast(ceil({percent} * n / 100D) as int)"
-    # Sets under 100 / (100 - percent) - 1 tokens are similar to equal ones alone.
-    long_enough = f"n * 100 >= {percent} * (n + 1) "
-    grams = sets.where(f"{long_enough} or (n - 1) * 100 >= {percent} * n")
-    prefix = grams.select("set", "n", F.posexplode(F.expr(f"slice(o, 1, n - {least} + 1)")).alias("p", "w")).groupBy("set", "n", "p", "w").agg(F.lit(1).alias("one")).drop("one")
-    prefix = cut_table(prefix)
-    x, y = prefix.alias("x"), prefix.alias("y")
-    # Shared by sets of sizes n and m at that similarity: at least percent * (n + m) / (100 + percent).
-    bound = f"(1 + least(x.n - x.p, y.n - y.p) - 1) * {100 + percent} >= {percent} * (x.n + y.n)"
-    size = f"(x.n < y.n or (x.n = y.n and x.set < y.set)) and 100 * x.n >= {percent} * y.n"
-    pairs = x.join(y, F.expr("x.w = y.w") & F.expr(size) & F.expr(bound)).groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    # Sets too short to be similar to any but equal ones have one entry, for the whole set.
+    short = f"n * 100 < {percent} * (n + 1) and (n - 1) * 100 < {percent} * n"
+    sets = once.select("key", ranked.alias("o")).withColumn("n", F.size("o"))
+    entries = sets.select("key", "n", F.posexplode(F.expr(f"if({short}, array(xxhash64(o)), slice(o, 1, n - {least} + 1))")).alias("p", "w"))
+    # Rarer copies than COMMON meet at their tokens and become one entry there.
+    index = entries.repartition("w").groupBy("w", "key", "n", "p").agg(F.lit(1).alias("one")).drop("one")
+    x, y = index.alias("x"), index.alias("y")
+    # Shared by sets of sizes n <= m at that similarity: at least percent * (n + m) / (100 + percent), so no less than with m = n.
+    bound = f"least(x.n - x.p, y.n - y.p) * {100 + percent} >= {percent} * (x.n + y.n)"
+    near = f"x.p <= x.n - ceil({2 * percent} * x.n / {100 + percent}D)"
+    size = f"(x.n < y.n or (x.n = y.n and x.key < y.key)) and 100 * x.n >= {percent} * y.n and x.key <> y.key"
+    pairs = x.join(y, F.expr("x.w = y.w") & F.expr(size) & F.expr(near) & F.expr(bound)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    firsts = classes.join(wanted, "set", "left_semi").select("set", "first.id", "first.line")
-    # Most lines are in no pair: a bounded table of hash slots keeps their tokens out of the shuffle.
-    slot = F.pmod(F.col("set"), F.lit(SLOTS)).cast("int")
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    heads = classes.join(wanted, "key", "left_semi").select("key", "first.id", "first.line")
+    # Most lines are in no pair: a bounded table of hash slots keeps their texts out of the shuffle.
+    slot = F.pmod(F.col("key"), F.lit(SLOTS)).cast("int")
     on = {r[0] for r in wanted.select(slot).distinct().collect()}
-    flags = F.split(F.lit(",".join("1" if i in on else "0" for i in range(SLOTS))), ",").cast("array<boolean>")
-    tokens = sets.where(F.element_at(flags, slot + 1)).select("id", "line", "o").join(firsts, ["id", "line"]).select("set", "o")
-    both = pairs.join(tokens.select(F.col("set").alias("a"), F.col("o").alias("p")), "a").join(tokens.select(F.col("set").alias("b"), F.col("o").alias("q")), "b")
+    flags = _table([int(i in on) for i in range(SLOTS)], "boolean")
+    tokens = once.where(F.get(flags, slot)).select("id", "line", "key", "t").join(heads, ["id", "line", "key"]).select("key", _tokens("t").alias("o"))
+    both = pairs.join(tokens.select(F.col("key").alias("a"), F.col("o").alias("p")), "a").join(tokens.select(F.col("key").alias("b"), F.col("o").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     links = cut(both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select("a", "b"))
     ends = links.union(links.select("b", "a"))
-    linked = ends.join(classes.select(F.col("set").alias("b"), "first"), "b").groupBy(F.col("a").alias("set")).agg(F.min("first").alias("other"))
-    best = classes.join(linked, "set", "left").select("set", F.least("first", F.coalesce("other", "first")).alias("best"))
-    # A class whose only line is its own best has nothing to remove.
-    return at.join(best, "set").where(F.struct("id", "line") > F.col("best")).select("id", "line")
+    linked = ends.join(classes.select(F.col("key").alias("b"), "first"), "b").groupBy(F.col("a").alias("key")).agg(F.min("first").alias("other"))
+    best = classes.join(linked, "key", "left").withColumn("best", F.least("first", F.coalesce("other", "first")))
+    # A class of one line that is its own best has nothing to remove.
+    best = best.where((F.col("copies") > 1) | (F.col("best") < F.col("first"))).select("key", "best")
+    return at.join(best, "key").where(F.struct("id", "line") > F.col("best")).select("id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
