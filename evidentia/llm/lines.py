@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, cut_table, table
 
 #: Token frequencies are kept by hash slot, so the table is this long whatever the vocabulary.
 FREQUENCY_SLOTS = 131_072
@@ -33,12 +33,19 @@ def _tokens(t):
 
 def _rarity(lines: DataFrame):
     """Function of a token: its place in the order by rarity, a long. Slots hold eighths of log2 of their counts."""
-    slot = lambda w: F.pmod(w, F.lit(FREQUENCY_SLOTS))
-    words = lines.select(F.explode(F.split("t", SPACE)).alias("w")).select(slot(F.xxhash64("w")).cast("int").alias("k"))
+    slot = lambda w: w.bitwiseAND(FREQUENCY_SLOTS - 1).cast("int")
+    words = lines.select(F.explode(F.split("t", SPACE)).alias("w")).select(slot(F.xxhash64("w")).alias("k"))
     seen = {r["k"]: r["e"] for r in words.groupBy("k").agg(F.round(8 * F.log2(F.count("*"))).cast("int").alias("e")).collect()}  # at most FREQUENCY_SLOTS rows
-    freq = F.struct(_table([seen.get(k, 0) for k in range(FREQUENCY_SLOTS)], "int").alias("f"))
     # Eighths of log2 of a count fit ten bits; the token's other bits break ties.
-    return lambda w: F.shiftleft(F.get(freq["f"], slot(w).cast("int")).cast("long"), 53).bitwiseOR(F.shiftrightunsigned(w, 11))
+    freq = F.struct(_table([seen.get(k, 0) << 53 for k in range(FREQUENCY_SLOTS)], "long").alias("f"))
+    return lambda w: F.get(freq["f"], slot(w)).bitwiseOR(F.shiftrightunsigned(w, 11))
+
+
+def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (early, late) whose whole sets are similar."""
+    both = pairs.join(tokens.select(F.col("key").alias("early"), F.col("o").alias("p")), "early").join(tokens.select(F.col("key").alias("late"), F.col("o").alias("q")), "late")
+    shared = F.size(F.array_intersect("p", "q"))
+    return both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select("early", "late")
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -54,8 +61,8 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = cut(at.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies")))
     total = classes.agg(F.sum("copies")).first()[0] or 0
     common = classes.where((F.col("copies") > total / COMMON) & (F.col("copies") > 1)).select("key", "first.id", "first.line").collect()  # fewer than COMMON
-    heads = [f"{r['id']}:{r['line']}" for r in common]
-    once = lines.where(~F.col("key").isin([r["key"] for r in common]) | F.concat_ws(":", "id", "line").isin(heads)) if common else lines
+    own = [f"{r['id']}:{r['line']}" for r in common]
+    once = lines.where(~F.col("key").isin([r["key"] for r in common]) | F.concat_ws(":", "id", "line").isin(own)) if common else lines
 
     ranked = F.sort_array(F.transform(_tokens("t"), rank))
     least = f"cast(ceil({percent} * n / 100D) as int)"
@@ -68,26 +75,27 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     x, y = index.alias("x"), index.alias("y")
     # Shared by sets of sizes n <= m at that similarity: at least percent * (n + m) / (100 + percent), so no less than with m = n.
     bound = f"least(x.n - x.p, y.n - y.p) * {100 + percent} >= {percent} * (x.n + y.n)"
-    near = f"x.p <= x.n - ceil({2 * percent} * x.n / {100 + percent}D)"
     size = f"(x.n < y.n or (x.n = y.n and x.key < y.key)) and 100 * x.n >= {percent} * y.n and x.key <> y.key"
-    pairs = x.join(y, F.expr("x.w = y.w") & F.expr(size) & F.expr(near) & F.expr(bound)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    heads = classes.join(wanted, "key", "left_semi").select("key", "first.id", "first.line")
+    pairs = x.join(y, F.expr("x.w = y.w") & F.expr(size) & F.expr(bound)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    # A line goes if any earlier text is similar, so what the first candidate settles needs no other.
+    heads = classes.select("key", "first")
+    pairs = pairs.join(heads.toDF("a", "fa"), "a").join(heads.toDF("b", "fb"), "b")
+    swap = F.col("fb") < F.col("fa")
+    pairs = cut(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("early"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.least("fa", "fb").alias("at")))
+    wanted = pairs.select(F.col("early").alias("key")).union(pairs.select("late")).distinct()
     # Most lines are in no pair: a bounded table of hash slots keeps their texts out of the shuffle.
-    slot = F.pmod(F.col("key"), F.lit(SLOTS)).cast("int")
+    slot = F.col("key").bitwiseAND(SLOTS - 1).cast("int")
     on = {r[0] for r in wanted.select(slot).distinct().collect()}
     flags = _table([int(i in on) for i in range(SLOTS)], "boolean")
-    tokens = once.where(F.get(flags, slot)).select("id", "line", "key", "t").join(heads, ["id", "line", "key"]).select("key", _tokens("t").alias("o"))
-    both = pairs.join(tokens.select(F.col("key").alias("a"), F.col("o").alias("p")), "a").join(tokens.select(F.col("key").alias("b"), F.col("o").alias("q")), "b")
-    shared = F.size(F.array_intersect("p", "q"))
-    links = cut(both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select("a", "b"))
-    ends = links.union(links.select("b", "a"))
-    linked = ends.join(classes.select(F.col("key").alias("b"), "first"), "b").groupBy(F.col("a").alias("key")).agg(F.min("first").alias("other"))
-    best = classes.join(linked, "key", "left").withColumn("best", F.least("first", F.coalesce("other", "first")))
-    # A class of one line that is its own best has nothing to remove.
-    best = best.where((F.col("copies") > 1) | (F.col("best") < F.col("first"))).select("key", "best")
-    return at.join(best, "key").where(F.struct("id", "line") > F.col("best")).select("id", "line")
+    ours = classes.join(wanted, "key", "left_semi").select("key", "first.id", "first.line")
+    tokens = cut_table(once.where(F.get(flags, slot)).select("id", "line", "key", "t").join(ours, ["id", "line", "key"]).select("key", _tokens("t").alias("o")))
+    firsts = pairs.groupBy("late").agg(F.min(F.struct("at", "early")).alias("m")).select("m.early", "late")
+    settled = cut(_similar(firsts, tokens, percent).select("late"))
+    others = _similar(pairs.join(settled, "late", "left_anti").select("early", "late"), tokens, percent).select("late").distinct()
+    gone = settled.union(others).select(F.col("late").alias("key"), F.lit(True).alias("gone"))
+    # A class of one line with nothing similar before it has nothing to remove.
+    judged = classes.join(gone, "key", "left").where((F.col("copies") > 1) | F.col("gone")).select("key", "first", "gone")
+    return at.join(judged, "key").where(F.col("gone") | (F.struct("id", "line") > F.col("first"))).select("id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
