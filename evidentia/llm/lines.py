@@ -11,6 +11,8 @@ from .common import SPACE, cut, cut_table, table
 FREQUENCY_SLOTS = 131_072
 #: Texts in candidate pairs are first told apart by this many hash slots, whatever their number.
 SLOTS = 131_072
+#: Prefixes are long enough for similar sets to share so many tokens there (all they share, if fewer).
+SHARED = 3
 #: A line text with more than one in so many of all lines is common: there are fewer such texts than this.
 COMMON = 4096
 
@@ -51,8 +53,8 @@ def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(id, line) of each line that an earlier line (by id, line) equals to Jaccard percent / 100 or more, as token sets.
 
-    Tokens are ordered by rarity; two sets that similar share a token in their prefixes, and the
-    positions and lengths there bound what they can share. Equal texts are one class, so copies
+    Tokens are ordered by rarity; two sets that similar share SHARED tokens in their prefixes, and
+    the positions and lengths there bound what they can share. Equal texts are one class, so copies
     make no pairs. Lines without tokens never match.
     """
     lines = _lines(docs)
@@ -66,17 +68,20 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     ranked = F.sort_array(F.transform(_tokens("t"), rank))
     least = f"cast(ceil({percent} * n / 100D) as int)"
-    # Sets too short to be similar to any but equal ones have one entry, for the whole set.
+    # Sets too short to be similar to any but equal ones have one entry, for the whole set, at -1.
     short = f"n * 100 < {percent} * (n + 1) and (n - 1) * 100 < {percent} * n"
     sets = once.select("key", ranked.alias("o")).withColumn("n", F.size("o"))
-    entries = sets.select("key", "n", F.posexplode(F.expr(f"if({short}, array(xxhash64(o)), slice(o, 1, n - {least} + 1))")).alias("p", "w"))
+    entries = sets.select("key", "n", F.expr(short).alias("whole"), F.posexplode(F.expr(f"if({short}, array(xxhash64(o)), slice(o, 1, n - {least} + {SHARED}))")).alias("p", "w"))
+    entries = entries.select("w", "key", "n", F.when(F.col("whole"), -1).otherwise(F.col("p")).alias("p"))
     # Rarer copies than COMMON meet at their tokens and become one entry there.
     index = entries.repartition("w").groupBy("w", "key", "n", "p").agg(F.lit(1).alias("one")).drop("one")
     x, y = index.alias("x"), index.alias("y")
-    # Shared by sets of sizes n <= m at that similarity: at least percent * (n + m) / (100 + percent), so no less than with m = n.
-    bound = f"least(x.n - x.p, y.n - y.p) * {100 + percent} >= {percent} * (x.n + y.n)"
-    size = f"(x.n < y.n or (x.n = y.n and x.key < y.key)) and 100 * x.n >= {percent} * y.n and x.key <> y.key"
-    pairs = x.join(y, F.expr("x.w = y.w") & F.expr(size) & F.expr(bound)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    # Sets of sizes n and m at that similarity share at least percent * (n + m) / (100 + percent) tokens.
+    bound = f"({SHARED - 1} + least(x.n - x.p, y.n - y.p)) * {100 + percent} >= {percent} * (x.n + y.n)"
+    size = f"(x.n < y.n or (x.n = y.n and x.key < y.key)) and 100 * x.n >= {percent} * y.n"
+    met = x.join(y, F.expr("x.w = y.w") & F.expr(size) & F.expr(bound)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    met = met.agg(F.count("*").alias("shared"), F.min("x.p").alias("least"))
+    pairs = met.where(f"least = -1 or shared >= least({SHARED}, ceil({percent} * (n + m) / {100 + percent}D))").select("a", "b")
     # A line goes if any earlier text is similar, so what the first candidate settles needs no other.
     heads = classes.select("key", "first")
     pairs = pairs.join(heads.toDF("a", "fa"), "a").join(heads.toDF("b", "fb"), "b")
