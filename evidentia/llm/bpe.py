@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -101,7 +102,7 @@ class ByteBpe:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -114,7 +115,7 @@ def encode_texts(bpe: ByteBpe, texts: list[str], memory: dict) -> list[list]:
     cuts = [bpe.cut(t) for t in texts]
     if len(memory) > REMEMBER:
         memory.clear()
-    fresh = list({w for c in cuts for w in c} - memory.keys())
+    fresh = list(set().union(*cuts) - memory.keys())
     plain = [w for w in fresh if isinstance(w, str)]
     memory.update(zip(plain, bpe.encode_words(plain)))
     memory.update({w: [bpe.special[w[0]]] for w in fresh if not isinstance(w, str)})
@@ -128,7 +129,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         bpe, memory = load(path), {}
         for pdf in batches:
             cuts = encode_texts(bpe, pdf["text"].tolist(), memory)
-            yield pd.DataFrame({"id": pdf["id"], "ids": [[i for w in c for i in memory[w]] for c in cuts]})
+            yield pd.DataFrame({"id": pdf["id"], "ids": [list(chain.from_iterable(map(memory.__getitem__, c))) for c in cuts]})
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return d.mapInPandas(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
