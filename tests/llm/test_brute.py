@@ -115,6 +115,18 @@ def test_op8(spark):
     assert embeddings.near_vectors(d.limit(0)).count() == 0
 
 
+def test_op8_recall_of_large_label(spark):
+    # 66,000 distinct vectors of one label (17 bits), of which 1,000 have one partner near the threshold; a small label beside it.
+    turn = "transform(sequence(1, 64), i -> xxhash64({0}, i) / 9.3e18D)"
+    part = f"zip_with({turn.format('id - 65000')}, {turn.format('id')}, (x, y) -> x + 0.385D * y)"
+    v = f"case when id >= 65000 then {part} else {turn.format('id')} end"
+    d = spark.range(0, 66_000, 1, 8).selectExpr("id as vec_id", f"{v} as embedding", "if(id between 2000 and 2100, 1, 0) as label").localCheckpoint()
+    at = {r[0]: np.array(r[1]) for r in d.where("vec_id < 1000 or vec_id >= 65000").select("vec_id", "embedding").collect()}
+    links = {i for i in range(1000) if at[i] @ at[65_000 + i] >= 0.93 * math.sqrt((at[i] @ at[i]) * (at[65_000 + i] @ at[65_000 + i]))}
+    got = {r["vec_id"] for r in embeddings.near_vectors(d).where("n_links > 0 and vec_id < 1000").collect()}
+    assert len(links) > 500 and got <= links and len(got) >= 0.9 * len(links)
+
+
 def spans_brute(t):
     def luhn(x):
         return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for i, c in enumerate(reversed(x))) % 10 == 0
