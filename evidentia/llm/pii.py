@@ -12,7 +12,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}"
+#: A run of letters, marks and digits of any script, whole.
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+"
+#: Stands for a span that is taken out; words that touch it are no whole words.
+HOLE = "\uffff"
+FREE = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{HOLE}]){TERM}(?!{HOLE})"
 #: A match's stand-in when text is rewritten.
 TAGS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 #: Terms are first tried against a table of this many hash slots, whatever their number.
@@ -62,30 +66,53 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+def _words(text: Column, pattern: str = TERM) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
 
 
-def disclosing_terms(docs: DataFrame, window: int = 60, min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
-    """Terms (words of four letters or more) that reveal a protected entity, from counts over all of docs(id, text, spans).
+def _without(text: Column, spans: Column) -> Column:
+    """text with a HOLE in place of each of spans, which may overlap."""
+    step = F.aggregate(
+        F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], x["end"]))),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(F.lit(0), x["start"] - a["at"])), F.lit(HOLE)).alias("out")),
+    )
+    return F.concat(step["out"], F.substring(text, step["at"] + 1, F.length(text)))
+
+
+def disclosing_terms(docs: DataFrame, min_support: int = 3, disclosure: float = 0.9) -> DataFrame:
+    """Terms (words of any length and script) that reveal a protected entity, from counts over all of docs(id, text, spans).
 
     Entity e has information IC(e) = -log2(N_e / N), term t reveals PMI(e, t) = log2(N * N_et / (N_e * N_t)) of it;
     t discloses e from PMI >= disclosure * IC(e) on. N counts distinct texts, so copies add no evidence, N_et those
-    where t stands within window characters of e. At least min_support texts must hold both.
+    that hold e and, outside of all spans, t, however far apart. At least min_support texts must hold both.
+
+    PMI >= disclosure * IC is N_t <= N_et * (N / N_e)^(1 - disclosure). As N_et <= N_e, and N_t is no less than the
+    texts with protected entities that hold t, entities and terms that cannot pass go before they meet; none that can is lost.
     """
     size = docs.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
-    with_e = docs.where(F.size("spans") > 0).select(F.xxhash64("text").alias("h"), "text", F.explode("spans").alias("e"))
-    left = F.substring("text", F.greatest(F.lit(1), F.col("e.start") + 1 - window), F.least(F.lit(window), F.col("e.start")))
-    right = F.substring("text", F.col("e.end") + 1, F.lit(window))
-    near = with_e.select("h", F.lower("e.value").alias("entity"), F.explode_outer(F.array_distinct(F.concat(_words(left), _words(right)))).alias("term"))
-    near = cut(near.distinct())
-    n_e = near.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_et = near.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(f"n_et >= {min_support}")
-    pairs = cut(n_et.join(n_e, "entity"))
+    held = docs.where(F.size("spans") > 0)
+    ents = held.select(F.xxhash64("text").alias("h"), F.explode("spans").alias("e")).select("h", F.lower("e.value").alias("entity")).distinct()
+    ents = cut(ents)
+    n_e = ents.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= min_support) & (F.col("n_e") < size))
+    room = lambda n_e: F.pow(F.lit(float(size or 1)) / F.col(n_e), F.lit(1 - disclosure)) * (1 + 1e-9)
+    at = cut(ents.join(n_e, "entity"))
+    most = at.agg(F.max(F.col("n_e") * room("n_e"))).first()[0]
+    if most is None:
+        return docs.select(F.lit("").alias("term")).limit(0)
+    around = held.select(F.xxhash64("text").alias("h"), F.explode(_words(_without(F.col("text"), F.col("spans")), FREE)).alias("term"))
+    around = cut(around.join(at.select("h").distinct(), "h", "left_semi").distinct())
+    n_near = cut(around.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near").between(min_support, most)))
+    slots = _slots(n_near.select("term"))
+    rare = around.where(slots(F.col("term"))).join(n_near, "term")
+    both = rare.join(at, "h").where(F.col("n_near") <= F.col("n_e") * room("n_e"))
+    n_et = both.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_near").alias("n_near"))
+    pairs = cut(n_et.where((F.col("n_et") >= min_support) & (F.col("n_near") <= F.col("n_et") * room("n_e"))))
     slots = _slots(pairs.select("term"))
+    # Counted before they are joined, so a term has one row by then.
     words = docs.select(F.xxhash64("text").alias("h"), F.explode(F.filter(_words(F.col("text")), slots)).alias("term"))
-    n_t = words.join(pairs.select("term").distinct(), "term").groupBy("term", "h").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(n_t, "term").where(F.col("n_e") < size)
+    n_t = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    known = pairs.join(n_t, "term")
     pmi, ic = F.log2(size * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), -F.log2(F.col("n_e") / size)
     return known.where(pmi >= disclosure * ic).select("term").distinct()
 

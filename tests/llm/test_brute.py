@@ -159,6 +159,28 @@ def test_op9_terms(spark):
     assert got[47] == "who is <TERM> really" and got[48] == rows[48] and got[20] == rows[20] and "jo@ex.com" not in got[0]
 
 
+def test_op9_terms_of_whole_texts(spark):
+    # Far from the address, shorter than four letters, other scripts, and with digits; porting is no word of its own in passporting.
+    far = "filler words stand here " * 20
+    rows = [f"Ito 王芳 k9x {far} {i} mail jo@ex.com" for i in range(5)] + [f"{far} plain text {i} passporting" for i in range(60)]
+    rows += ["ITO and 王芳 and k9x and itoh passporting", "jo ex com stay"]
+    docs = dict(enumerate(rows))
+    word = lambda t: set(re.findall(r"\w+", t.lower()))
+    n_t = defaultdict(int)
+    for t in rows:
+        for w in word(t):
+            n_t[w] += 1
+    with_e = [t for t in rows if "jo@ex.com" in t]
+    n, n_e = len(rows), len(with_e)
+    near = {w: sum(w in word(t.replace("jo@ex.com", "")) for t in with_e) for w in n_t}
+    terms = {w for w, k in near.items() if k >= 3 and math.log2(n * k / (n_e * n_t[w])) >= 0.9 * -math.log2(n_e / n)}
+    assert {"ito", "王芳", "k9x"} <= terms and not terms & {"filler", "jo", "passporting"}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(d).collect()}
+    for i, t in docs.items():
+        assert [t[x["start"] : x["end"]].lower() for x in spans[i] if x["kind"] == "term"] == [w for w in re.findall(r"\w+", t.replace("jo@ex.com", "").lower()) if w in terms]
+
+
 def test_op5(spark):
     rows = {r["conv_id"]: [] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()} | {-1: []}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("turn").collect():
