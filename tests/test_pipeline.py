@@ -1,0 +1,37 @@
+"""The pipeline's stages on rows with null and repeated ids."""
+
+from collections import Counter
+
+import corpus_pipeline as cp
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+TEXT = "one two three four five six seven eight"
+
+
+def rows_of(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def parquet(spark, tmp_path, rows):
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).repartition(3).write.parquet(f"{tmp_path}/docs")
+    return spark.read.parquet(f"{tmp_path}/docs")
+
+
+def test_near_duplicates_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "null id with words of its own here"), (None, ""), (None, ""), (1, TEXT), (1, TEXT), (2, TEXT), (3, ""), (3, ""), (4, None), (4, None), (5, "alpha beta gamma delta epsilon"), (5, "other text under the same id")]
+    got = rows_of(cp.drop_near_duplicates(spark, parquet(spark, tmp_path, rows), SF))
+    want = Counter(set(rows) - {(2, TEXT), (None, "")}) + Counter({(None, ""): 2})
+    assert got == want
+
+
+def test_sanitise_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a@b.cd"), (1, "a@b.cd"), (1, "see x@y.zz there"), (2, "plain"), (None, "me@x.org"), (None, "nothing")]
+    got = rows_of(cp.sanitise(spark, parquet(spark, tmp_path, rows), SF))
+    assert got == Counter({(1, "<EMAIL>"): 2, (1, "see <EMAIL> there"): 1, (2, "plain"): 1, (None, "<EMAIL>"): 1, (None, "nothing"): 1})
+
+
+def test_lines_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, TEXT), (1, TEXT), (None, TEXT), (None, None), (2, "short")]
+    got = rows_of(cp.drop_lines(spark, parquet(spark, tmp_path, rows), SF))
+    assert got == Counter({(1, TEXT): 1, (1, ""): 1, (None, ""): 1, (None, None): 1, (2, "short"): 1})
