@@ -55,9 +55,9 @@ def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def basket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer - part pairs of one week's orders (1997-01-01 to 1997-01-07)."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= '1997-01-01' and o_orderdate < '1997-01-08'")
+def basket_edges(spark: SparkSession, sf_dir: str, when: str = "o_orderdate >= '1997-01-01' and o_orderdate < '1997-01-08'") -> DataFrame:
+    """customer - part pairs of the orders that meet when: one week's (1997-01-01 to 1997-01-07), or with "true" all."""
+    o = table(spark, sf_dir, "orders").where(when)
     d = o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return d.select(_id("customer", "o_custkey").alias("src"), _id("part", "l_partkey").alias("dst")).distinct()
 

@@ -97,6 +97,8 @@ QUERIES = {
     "event_contract_verdicts": contract_verdicts,
     "policy_forbid_direct": policy_forbid,
     "dead_nodes": lambda s, d: table(s, d, "part").select("p_partkey", "p_name").join(table(s, d, "lineitem").where("l_shipdate >= '1998-01-01' and l_shipdate < '1998-02-01'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"),
+    # Over all line items, not one month's.
+    "dead_nodes_whole": lambda s, d: table(s, d, "part").select("p_partkey", "p_name").join(table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"),
     "coverage_by_source": lambda s, d: table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels").select("doc_id", F.lit(1).alias("hit")), "doc_id", "left").groupBy("source").agg(F.count("*").alias("found"), F.count("hit").alias("hit")),
     "vector_topk_exact": vector_topk,
     "endpoint_listing": lambda s, d: table(s, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path")),
