@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import cut
+from ..operators.cuts import cut
 from ..sources.tables import table
 
 
