@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cuts import cut, cut_table  # noqa: F401
+
 #: ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Sides of joins up to so many rows of a few longs may be broadcast, after they are counted.
+FEW = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """As cut(), but as a compressed Parquet table, for what is large; it stays until the folder is cleared."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, or if docs has such a column (in any case), name with a suffix that none has."""
+    taken = {c.lower() for c in docs.columns}
+    return name if name.lower() not in taken else f"{name}_{uuid.uuid4().hex}"
+
 
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs plus a column (its name is returned) with a long of its own for each row.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir, so a lost executor costs no more than a reread."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    It is the id where that is not null and stands for the first time; null ids and repeated ones get numbers
+    beyond all ids, in no order that matters. Where ids are unique, as a rule, only the ids are counted.
+    """
+    key, row = fresh(docs, "_key"), fresh(docs, "_row")
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    most, low, high, nulls = ids.agg(F.max("n"), F.min("id"), F.max("id"), F.count_if(F.col("id").isNull())).first()
+    if most is None or (most == 1 and not nulls):
+        return docs.withColumn(key, F.col(id_col).cast("long")), key
+    # Written once, as the row numbers must not change between reads.
+    rows = cut_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    firsts = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(f"{row}i")).agg(F.min(row).alias(f"{row}f"), F.count("*").alias(f"{row}n")).where(F.col(f"{row}n") > 1)
+    other = F.lit(0 if high is None else high + 1) + F.col(row) if high is None or high < 2**62 else F.lit(low - 1) - F.col(row)
+    own = F.col(id_col).isNotNull() & (F.col(f"{row}f").isNull() | (F.col(f"{row}f") == F.col(row)))
+    out = rows.join(firsts, F.col(id_col).cast("long") == F.col(f"{row}i"), "left").withColumn(key, F.when(own, F.col(id_col).cast("long")).otherwise(other))
+    return out.drop(row, f"{row}i", f"{row}f", f"{row}n"), key
+
+
+def small(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df, marked for broadcast if it is counted to have no more than so many rows; df should be cut, as it is counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def words_of(t: Column | str) -> Column:
+    """Words between ASCII white space; empty ones may stand among them. A blank is split on faster than a pattern."""
+    t = F.col(t) if isinstance(t, str) else t
+    odd = [F.contains(t, F.lit(c)) for c in "\t\n\v\f\r"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.split(t, SPACE)).otherwise(F.split(t, " "))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,125 +2,158 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, cut_table, table
+from .common import cut, cut_table, fresh, keyed, small, table, words_of
 
-#: Token frequencies are kept by hash slot, so the table is this long whatever the vocabulary.
-FREQUENCY_SLOTS = 131_072
-#: Texts in candidate pairs are first told apart by this many hash slots, whatever their number.
+#: Token frequencies are kept by hash slot, a byte each, so the table has a fixed length whatever the vocabulary.
 SLOTS = 131_072
-#: Prefixes are long enough for similar sets to share so many tokens there (all they share, if fewer).
-SHARED = 3
 #: A line text with more than one in so many of all lines is common: there are fewer such texts than this.
 COMMON = 4096
+#: Sizes and positions in an index entry stop at this; the bounds that need them then pass.
+MOST = 65_535
+#: Rounds in which lines are compared with the first line of each of their tokens only.
+ROUNDS = 2
 
 
-def _table(values: list, kind: str):
-    """A constant array of a fixed number of values."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, line, t, key, pos): every line that is not blank, the hash of its text and its place in the order by (id, line)."""
+    d = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
+    return d.withColumns({"key": F.xxhash64("t"), "pos": F.expr("cast(id as decimal(20,0)) * 2147483648 + line")})
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line, t, key): every line with at least one word, and the hash of its text."""
-    d = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("id", F.col("line").cast("long"), F.btrim("t", F.lit(" \t\v\f\r")).alias("t"))
-    return d.where("t <> ''").withColumn("key", F.xxhash64("t"))
+def _rarity(lines: DataFrame):
+    """Function of a token hash: its place in the order by rarity, a long: eight bits for its slot's count (eighths of log2, about the mean), then its hash."""
+    words = lines.select(F.explode(words_of("t")).alias("w")).where("w <> ''")
+    slots = cut(words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("k")).agg(F.count("*").alias("n")))
+    mean = (slots.agg(F.sum("n")).first()[0] or 1) / SLOTS
+    level = F.least(F.lit(255), F.greatest(F.lit(0), F.round(8 * F.log2(F.col("n") / mean)) + 128)).cast("long")
+    packed = slots.select("k", level.alias("e")).groupBy(F.expr("k div 8").alias("at")).agg(F.expr("bit_or(shiftleft(e, (k % 8) * 8))").alias("bits"))
+    seen = {r["at"]: r["bits"] for r in packed.collect()}  # SLOTS / 8 rows at most
+    levels = F.split(F.lit(",".join(str(seen.get(k, 0)) for k in range(SLOTS // 8))), ",").cast("array<long>")
 
+    def rank(w: Column) -> Column:
+        slot = w.bitwiseAND(SLOTS - 1)
+        bits = F.coalesce(F.get(levels, F.shiftright(slot, 3).cast("int")), F.lit(0).cast("long"))
+        e = F.call_function("shiftright", bits, (slot.bitwiseAND(7) * 8).cast("int")).bitwiseAND(255)
+        return F.shiftleft(e, 55).bitwiseOR(F.shiftrightunsigned(w, 9))
 
-def _tokens(t):
-    """Distinct 64-bit hashes of a text's words."""
-    return F.array_distinct(F.transform(F.split(t, SPACE), lambda w: F.xxhash64(w)))
+    return rank
 
 
-def _rarity(lines: DataFrame):
-    """Function of a token: its place in the order by rarity, a long. Slots hold eighths of log2 of their counts."""
-    slot = lambda w: w.bitwiseAND(FREQUENCY_SLOTS - 1).cast("int")
-    words = lines.select(F.explode(F.split("t", SPACE)).alias("w")).select(slot(F.xxhash64("w")).alias("k"))
-    seen = {r["k"]: r["e"] for r in words.groupBy("k").agg(F.round(8 * F.log2(F.count("*"))).cast("int").alias("e")).collect()}  # at most FREQUENCY_SLOTS rows
-    # Eighths of log2 of a count fit ten bits; the token's other bits break ties.
-    freq = F.struct(_table([seen.get(k, 0) << 53 for k in range(FREQUENCY_SLOTS)], "long").alias("f"))
-    return lambda w: F.get(freq["f"], slot(w)).bitwiseOR(F.shiftrightunsigned(w, 11))
-
-
-def _similar(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (early, late) whose whole sets are similar."""
-    both = pairs.join(tokens.select(F.col("key").alias("early"), F.col("o").alias("p")), "early").join(tokens.select(F.col("key").alias("late"), F.col("o").alias("q")), "late")
+def _sets(rank):
+    """Distinct ranks of a text's tokens, rarest first."""
+    none = rank(F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(F.transform(words_of("t"), lambda w: F.xxhash64(w)), rank), none)))
+
+
+def _index(lines: DataFrame, rank, percent: int) -> DataFrame:
+    """(c, key, s) per line and prefix token: c packs token, set size and position in 32, 16 and 16 bits; s is the set's parity sketch.
+
+    Bit b of s tells whether an odd number of tokens hash to b, so two sets differ in as many tokens as sketches in bits, at least.
+    """
+    # Through explode, so that the set is made once and not again for each use.
+    sets = lines.select("key", F.explode(F.array(_sets(rank))).alias("o"))
+    sketch = F.expr("aggregate(o, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
+    sets = sets.withColumns({"n": F.size("o"), "s": sketch}).where("n > 0")
+    # Sets too short to be similar to any but equal ones have one entry, for the whole set.
+    short = f"n * 100 < {percent} * (n + 1) and (n - 1) * 100 < {percent} * n"
+    prefix = f"if({short}, array(xxhash64(o)), slice(o, 1, n - cast(ceil({percent} * n / 100D) as int) + 1))"
+    entries = sets.select("key", "n", "s", F.posexplode(F.expr(prefix)).alias("p", "w"))
+    return entries.select(F.expr(f"shiftleft(w, 32) | shiftleft(cast(least(n, {MOST}) as bigint), 16) | least(p, {MOST})").alias("c"), "key", "s")
+
+
+def _near(percent: int) -> str:
+    """Whether entries x and y of one token can be of similar sets, by size, position and sketch; false for none that are, at their first shared token."""
+    nx, ny, px, py = "(shiftright(x.c, 16) & 65535)", "(shiftright(y.c, 16) & 65535)", "(x.c & 65535)", "(y.c & 65535)"
+    size = f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
+    # Sets of sizes n and m at that similarity share percent * (n + m) / (100 + percent) tokens at least.
+    place = f"least({nx} - {px}, {ny} - {py}) * {100 + percent} >= {percent} * ({nx} + {ny})"
+    sketch = f"bit_count(x.s ^ y.s) * {100 + percent} <= ({nx} + {ny}) * {100 - percent}"
+    return f"(greatest({nx}, {ny}) = {MOST} or ({size} and {place} and {sketch}))"
+
+
+TOKEN = "shiftrightunsigned({}.c, 32)"
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Keys of late of the pairs (early, late) whose whole sets are similar."""
+    both = pairs.join(sets.select(F.col("key").alias("early"), F.col("o").alias("p")), "early").join(sets.select(F.col("key").alias("late"), F.col("o").alias("q")), "late")
     shared = F.size(F.array_intersect("p", "q"))
-    return both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select("early", "late")
+    return both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select(F.col("late").alias("key")).distinct()
+
+
+def _later(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Keys of the line texts to which an earlier one is similar."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    common = classes.where((F.col("copies") > total / COMMON) & (F.col("copies") > 1)).select("key", F.col("first").alias("only"))  # fewer than COMMON
+    once = lines.join(F.broadcast(common), "key", "left").where("only is null or only = pos").drop("only")
+    rank = _rarity(lines)
+    index = _index(once, rank, percent)
+    # First, entries that meet any that may be similar, once each, however many they meet; both sides read one exchange.
+    x, y = index.alias("x"), index.alias("y")
+    met = x.join(y, F.expr(f"{TOKEN.format('x')} = {TOKEN.format('y')} and x.key <> y.key and {_near(percent)}"), "left_semi").distinct()
+    met = cut_table(met)
+    keys = cut(met.select("key").distinct())
+    few = small(keys)
+    # Their sets, one row for each text; other copies of a common text are gone already.
+    sets = cut_table(once.join(few, "key", "left_semi").select("key", "pos", _sets(rank).alias("o")).join(classes.select("key", F.col("first").alias("pos")), ["key", "pos"]).select("key", "o"))
+    met = cut_table(met.join(classes.join(few, "key", "left_semi").select("key", "first"), "key").withColumn("w", F.expr("shiftrightunsigned(c, 32)")))
+    # Then each line against the first line at its tokens, and what that leaves against the second: groups of copies of one line end here.
+    settled, heads, rest = [], None, met
+    for _ in range(ROUNDS):
+        lead = rest if heads is None else rest.join(heads.select("w", F.col("h.first").alias("was")), "w").where("first > was")
+        heads = cut_table(lead.groupBy("w").agg(F.min(F.struct("first", "key", "c", "s")).alias("h")))
+        x, y = heads.select("w", "h.*").alias("x"), rest.alias("y")
+        pairs = x.join(y, F.expr(f"x.w = y.w and x.first < y.first and {_near(percent)}")).select(F.col("x.key").alias("early"), F.col("y.key").alias("late")).distinct()
+        settled.append(cut(_similar(pairs, sets, percent)))
+        rest = rest.join(small(settled[-1]), "key", "left_anti")
+    # Last, what no such line settled against every earlier one.
+    x, y = met.alias("x"), cut_table(rest).alias("y")
+    pairs = x.join(y, F.expr(f"x.w = y.w and x.first < y.first and {_near(percent)}")).select(F.col("x.key").alias("early"), F.col("y.key").alias("late")).distinct()
+    return reduce(DataFrame.union, [*settled, _similar(pairs, sets, percent)])
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(id, line) of each line that an earlier line (by id, line) equals to Jaccard percent / 100 or more, as token sets.
+    """(id, line) of each line of docs(id long, text) that an earlier line (by id, line) equals to Jaccard percent / 100 or more, as sets of words.
 
-    Tokens are ordered by rarity; two sets that similar share SHARED tokens in their prefixes, and
-    the positions and lengths there bound what they can share. Equal texts are one class, so copies
-    make no pairs. Lines without tokens never match.
+    Words are ordered by rarity; similar sets share one of their rarest words, and the sizes, the positions
+    there and a sketch bound how similar they can be. Equal texts are one class, so copies make no pairs.
+    Blank lines never match. Texts and words are known by 64-bit hashes. Null texts have no lines.
     """
     lines = _lines(docs)
-    rank = _rarity(lines)
-    at = lines.select("id", "line", "key")
-    classes = cut(at.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies")))
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    common = classes.where((F.col("copies") > total / COMMON) & (F.col("copies") > 1)).select("key", "first.id", "first.line").collect()  # fewer than COMMON
-    own = [f"{r['id']}:{r['line']}" for r in common]
-    once = lines.where(~F.col("key").isin([r["key"] for r in common]) | F.concat_ws(":", "id", "line").isin(own)) if common else lines
-
-    ranked = F.sort_array(F.transform(_tokens("t"), rank))
-    least = f"cast(ceil({percent} * n / 100D) as int)"
-    # Sets too short to be similar to any but equal ones have one entry, for the whole set, at -1.
-    short = f"n * 100 < {percent} * (n + 1) and (n - 1) * 100 < {percent} * n"
-    sets = once.select("key", ranked.alias("o")).withColumn("n", F.size("o"))
-    entries = sets.select("key", "n", F.expr(short).alias("whole"), F.posexplode(F.expr(f"if({short}, array(xxhash64(o)), slice(o, 1, n - {least} + {SHARED}))")).alias("p", "w"))
-    entries = entries.select("w", "key", "n", F.when(F.col("whole"), -1).otherwise(F.col("p")).alias("p"))
-    # Rarer copies than COMMON meet at their tokens and become one entry there.
-    index = entries.repartition("w").groupBy("w", "key", "n", "p").agg(F.lit(1).alias("one")).drop("one")
-    x, y = index.alias("x"), index.alias("y")
-    # Sets of sizes n and m at that similarity share at least percent * (n + m) / (100 + percent) tokens.
-    bound = f"({SHARED - 1} + least(x.n - x.p, y.n - y.p)) * {100 + percent} >= {percent} * (x.n + y.n)"
-    size = f"(x.n < y.n or (x.n = y.n and x.key < y.key)) and 100 * x.n >= {percent} * y.n"
-    met = x.join(y, F.expr("x.w = y.w") & F.expr(size) & F.expr(bound)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    met = met.agg(F.count("*").alias("shared"), F.min("x.p").alias("least"))
-    pairs = met.where(f"least = -1 or shared >= least({SHARED}, ceil({percent} * (n + m) / {100 + percent}D))").select("a", "b")
-    # A line goes if any earlier text is similar, so what the first candidate settles needs no other.
-    heads = classes.select("key", "first")
-    pairs = pairs.join(heads.toDF("a", "fa"), "a").join(heads.toDF("b", "fb"), "b")
-    swap = F.col("fb") < F.col("fa")
-    pairs = cut(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("early"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.least("fa", "fb").alias("at")))
-    wanted = pairs.select(F.col("early").alias("key")).union(pairs.select("late")).distinct()
-    # Most lines are in no pair: a bounded table of hash slots keeps their texts out of the shuffle.
-    slot = F.col("key").bitwiseAND(SLOTS - 1).cast("int")
-    on = {r[0] for r in wanted.select(slot).distinct().collect()}
-    flags = _table([int(i in on) for i in range(SLOTS)], "boolean")
-    ours = classes.join(wanted, "key", "left_semi").select("key", "first.id", "first.line")
-    tokens = cut_table(once.where(F.get(flags, slot)).select("id", "line", "key", "t").join(ours, ["id", "line", "key"]).select("key", _tokens("t").alias("o")))
-    firsts = pairs.groupBy("late").agg(F.min(F.struct("at", "early")).alias("m")).select("m.early", "late")
-    settled = cut(_similar(firsts, tokens, percent).select("late"))
-    others = _similar(pairs.join(settled, "late", "left_anti").select("early", "late"), tokens, percent).select("late").distinct()
-    gone = settled.union(others).select(F.col("late").alias("key"), F.lit(True).alias("gone"))
+    at = lines.select("id", "line", "key", "pos")
+    classes = cut_table(at.groupBy("key").agg(F.min("pos").alias("first"), F.count("*").alias("copies")))
+    gone = _later(lines, classes, percent).select("key", F.lit(True).alias("gone"))
     # A class of one line with nothing similar before it has nothing to remove.
     judged = classes.join(gone, "key", "left").where((F.col("copies") > 1) | F.col("gone")).select("key", "first", "gone")
-    return at.join(judged, "key").where(F.col("gone") | (F.struct("id", "line") > F.col("first"))).select("id", "line")
+    return at.join(judged, "key").where(F.col("gone") | (F.col("pos") > F.col("first"))).select("id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """docs with the later of similar lines taken out of the text, plus n_lines and n_removed.
 
-    Null texts stay null with 0 lines; a text whose lines all go becomes empty. Lines of one
-    document count as well. Ids are taken as unique; columns of docs named n_lines or n_removed are replaced.
+    Null texts stay null with 0 lines; a text whose lines all go becomes empty; blank lines stay. Lines of one document
+    count as well. Of rows with one id, one keeps its place; the others, and rows with null ids, come after all ids.
+    All rows and columns stay, but columns named n_lines or n_removed are replaced. No rows give no rows.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = similar_lines(d, percent).groupBy("id").agg(F.collect_set("line").alias("_gone"))
-    out = docs.join(gone.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    gone_map = F.coalesce("_gone", F.array().cast("array<long>"))
-    parts = F.split(text_col, "\n")
-    # Where each line's flag comes from one sorted pass: lines that stay are those not in the set.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1).cast("array<long>"), gone_map)
-    new = F.array_join(F.transform(stay, lambda i: F.get(parts, i.cast("int"))), "\n")
-    out = out.withColumns({"n_lines": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0)).cast("long"), "n_removed": F.size(gone_map).cast("long")})
-    return out.withColumn(text_col, F.when(F.col("n_removed") > 0, new).otherwise(F.col(text_col))).drop("_gone")
+    docs, key = keyed(docs, id_col)
+    gone, out_id = fresh(docs, "_gone"), fresh(docs, "_id")
+    d = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
+    lost = similar_lines(d, percent).groupBy("id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("id", out_id)
+    out = docs.join(lost, F.col(key) == F.col(out_id), "left").drop(out_id, key)
+    lines = F.split(text_col, "\n")
+    # Lines that stay are those not in the set: one pass over a sequence.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    new = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    return out.withColumns({**counts, text_col: F.when(F.col(gone).isNotNull(), new).otherwise(F.col(text_col))}).drop(gone)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the SHA-256 of the text that is left (null for null), for all documents; see dedup_lines."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
