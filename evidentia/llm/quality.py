@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 N_STATS = 16
-#: At most this many labelled rows fit the model (those with the least id hash).
+#: About this many labelled rows, picked by id hash, fit the model; all do if there are fewer.
 FIT_ROWS = 60_000
+#: Tasks that the picked rows, a few MB, are summed in.
+FIT_TASKS = 8
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 mild mark, 6 odd mark, 7 over ASCII
 for _c in range(256):
     _ch = chr(_c)
@@ -84,13 +86,13 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in pdf["_stats"]]).reshape(-1, N_STATS)
 
 
-def train(labelled: DataFrame, ridge: float = 1e-3, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on labelled(id, _stats, y 0/1); None without rows of both labels.
+def train(labelled: DataFrame, ridge: float = 1e-3) -> Model | None:
+    """Fit on labelled(id, _stats, y 0/1), a bounded sample; None without rows of both labels.
 
-    Rows of fold 0 of an id hash calibrate, the others fit; each of at most eight partitions sends
-    its sums (a few hundred kilobytes) to the driver, and the calibration sends at most 1000 bins.
+    Rows of fold 0 of an id hash calibrate, the others fit; each of FIT_TASKS tasks sends its
+    sums (under a megabyte) to the driver, and the calibration sends at most 1000 bins.
     """
-    rows = cut(labelled.orderBy(F.xxhash64("id"), "id").limit(fit_rows).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5))).repartition(8, "id"))
+    rows = cut(labelled.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)))).coalesce(FIT_TASKS)
     fit = rows.where("fold > 0")
     s = [F.avg(F.col("_stats")[i]) for i in range(N_STATS)] + [F.stddev_pop(F.col("_stats")[i]) for i in range(N_STATS)]
     r = fit.agg(F.count("*"), F.min("y"), F.max("y"), *s).first()
@@ -127,15 +129,17 @@ def train(labelled: DataFrame, ridge: float = 1e-3, fit_rows: int = FIT_ROWS) ->
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut_off: float = 0.7) -> DataFrame:
     """docs plus held_out, score, predicted, in which docs' rows and columns stay; columns so named are replaced.
 
-    Fitted only on labelled rows whose crc32(id) mod 4 is not 2 (null labels are left out); without rows of
-    both labels every score is 1. Null and empty texts are scored by their all-zero statistics.
+    Fitted only on labelled rows whose crc32(id) mod 4 is not 2 (null labels and ids are left out; of a repeated label
+    the greatest counts); without rows of both labels every score is 1. Null and empty texts are scored by their
+    all-zero statistics, long texts whole. Null ids are not held out. No rows give no rows.
     """
     held = F.crc32(F.col(id_col).cast("string")) % 4 == 2
-    y = labels.where(F.col("quality").isNotNull() & ~held).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("quality").alias("y"))
-    picked = y.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    y = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("quality").alias("y"))
+    n = y.count()
+    # A cut-off on the hash needs no order; the rows picked are so few that their flags go to the texts, not the texts to them.
+    picked = y.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_ROWS / max(1, n))))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # Only labelled texts are measured here; the flags that choose them are joined, not the texts moved.
-    model = train(add_statistics(d.join(picked, "id")).select("id", "_stats", "y"))
+    model = train(add_statistics(d.join(F.broadcast(picked), "id")).select("id", "_stats", "y"))
 
     @F.pandas_udf("double")
     def judge(text: pd.Series) -> pd.Series:
@@ -148,5 +152,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents; see score_quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
