@@ -94,10 +94,18 @@ def test_op7(spark):
     odd = ["", "a<|endoftext|> b", "x\x1c ​　y \x85z", "aaaaaaa aaaa", "I'll 've\n\n  x   ", "日本 é 😀😀", "\r\n\t  \xa0 q", "½²৩ ab12cd"]
     docs = texts(spark) | {10_000 + i: x for i, x in enumerate(odd)}
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    for r in bpe.digest_tokens(bpe.tokenize(d, path), path).collect():
+    for r in bpe.digest_tokens(d, path).collect():
         ids = t.encode(docs[r["doc_id"]], add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), docs[r["doc_id"]][:80]
         assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    for r in bpe.tokenize(d, path).collect():
+        assert r["ids"] == t.encode(docs[r["doc_id"]], add_special_tokens=False).ids
+    long = " ".join(f"wörd{i % 977} aaaa{'a' * (i % 9)}" for i in range(200_000))
+    for part in (long, "a" * 40_000, "é" * 20_000, "ab" * 9_000):
+        one = spark.createDataFrame([(None, part), (1, None), (1, None)], "doc_id long, text string")
+        got = {r["doc_id"]: r["ids"] for r in bpe.tokenize(one, path).collect()}
+        assert got == {None: t.encode(part, add_special_tokens=False).ids, 1: []}
+    assert bpe.tokenize(d.limit(0), path).count() == 0
 
 
 def test_op8(spark):
