@@ -27,8 +27,8 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name if name.lower() not in taken else f"{name}_{uuid.uuid4().hex}"
 
 
-def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """docs plus a column (its name is returned) with a long of its own for each row.
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
+    """docs plus a column (its name is returned) with a long of its own for each row, and whether that is the id everywhere.
 
     It is the id where that is not null and stands for the first time; null ids and repeated ones get numbers
     beyond all ids, in no order that matters. Where ids are unique, as a rule, only the ids are counted.
@@ -37,14 +37,14 @@ def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
     most, low, high, nulls = ids.agg(F.max("n"), F.min("id"), F.max("id"), F.count_if(F.col("id").isNull())).first()
     if most is None or (most == 1 and not nulls):
-        return docs.withColumn(key, F.col(id_col).cast("long")), key
+        return docs.withColumn(key, F.col(id_col).cast("long")), key, True
     # Written once, as the row numbers must not change between reads.
     rows = cut_table(docs.withColumn(row, F.monotonically_increasing_id()))
     firsts = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(f"{row}i")).agg(F.min(row).alias(f"{row}f"), F.count("*").alias(f"{row}n")).where(F.col(f"{row}n") > 1)
     other = F.lit(0 if high is None else high + 1) + F.col(row) if high is None or high < 2**62 else F.lit(low - 1) - F.col(row)
     own = F.col(id_col).isNotNull() & (F.col(f"{row}f").isNull() | (F.col(f"{row}f") == F.col(row)))
     out = rows.join(firsts, F.col(id_col).cast("long") == F.col(f"{row}i"), "left").withColumn(key, F.when(own, F.col(id_col).cast("long")).otherwise(other))
-    return out.drop(row, f"{row}i", f"{row}f", f"{row}n"), key
+    return out.drop(row, f"{row}i", f"{row}f", f"{row}n"), key, False
 
 
 def small(df: DataFrame, rows: int = FEW) -> DataFrame:

@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as well. Of rows with one id, one keeps its place; the others, and rows with null ids, come after all ids.
     All rows and columns stay, but columns named n_lines or n_removed are replaced. No rows give no rows.
     """
-    docs, key = keyed(docs, id_col)
+    docs, key, _ = keyed(docs, id_col)
     gone, out_id = fresh(docs, "_gone"), fresh(docs, "_id")
     d = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
     lost = similar_lines(d, percent).groupBy("id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("id", out_id)

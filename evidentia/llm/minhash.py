@@ -8,11 +8,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, table
+from .common import components, cut, cut_table, keyed, mix, small, table
 
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 24, 5
+#: Bits of the sketches that candidate pairs and rows of crowded buckets carry.
+LONG, SHORT = 2048, 512
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -64,14 +66,12 @@ def _band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
     key = np.zeros((len(h), bands), np.uint64)
     for i in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, i])
-    return key.view(np.int64)
+    return mix(key + np.arange(bands, dtype=np.uint64)).view(np.int64)  # a band's number is part of its keys
 
 
-def sketch(s: np.ndarray, bits: int = 2048) -> np.ndarray:
-    """A bitmap as longs, one bit per element by hash: two sets differ in at least as many elements as bitmaps in bits."""
-    on = np.zeros(bits, bool)
-    on[(s >> np.uint64(7)) % np.uint64(bits)] = True
-    return np.packbits(on).view(np.int64)
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Longs whose bits tell whether an odd number of elements hash there: sets differ in at least as many elements as sketches in bits."""
+    return np.packbits((np.bincount(((s >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64)
 
 
 def _describe(bands: int, rows: int, words: int):
@@ -80,8 +80,8 @@ def _describe(bands: int, rows: int, words: int):
             sets = [shingles(t, words) for t in pdf["text"]]
             keys = _band_keys(signatures(sets, bands * rows), bands, rows) if len(sets) else np.empty((0, bands), np.int64)
             yield pd.DataFrame({
-                "id": pdf["id"], "n": [len(s) for s in sets],
-                "digest": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "keys": list(keys), "bits": [sketch(s) for s in sets],
+                "id": pdf["id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "keys": list(keys),
+                "bits": [sketch(s, LONG) for s in sets], "fold": [sketch(s, SHORT) for s in sets],
             })
     return run
 
@@ -89,10 +89,17 @@ def _describe(bands: int, rows: int, words: int):
 def _sets(words: int):
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "bits": [shingles(t, words).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "set": [shingles(t, words).view(np.int64) for t in pdf["text"]]})
     return run
 
 
+def _bound(x: str, y: str, bits: str, percent: int) -> str:
+    """Whether rows x and y can be linked, by size and by the bits in which their sketches differ; false for none that are."""
+    n, m = f"{x}.n", f"{y}.n"
+    flips = f"aggregate(zip_with({x}.{bits}, {y}.{bits}, (i, j) -> bit_count(i ^ j)), 0, (s, z) -> s + z)"
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {flips} * {100 + percent} <= ({n} + {m}) * {100 - percent}"
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, kept. Links: 100 * shared >= percent * union of the shingle sets.
 
@@ -100,69 +107,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class representatives only; it is checked in rounds, every member against the bucket's
     first one, and members already in one component are not compared again, so a bucket of copies
     costs a few rows per member. After the rounds, the members of a bucket that still lie in
-    unlike components are compared with each other. Links are confirmed on the full sets.
-    Null or wordless texts have n_shingles 0 and their own component. ids are taken as unique
-    (repeated ids fall together); other columns of docs are not read; no rows give no rows.
+    unlike components are compared with each other. Sketches bound the likeness before full sets are read;
+    links are confirmed on the full sets, whose shingles are known by 64-bit hashes.
+    Null or wordless texts have n_shingles 0 and their own component; long texts are read whole. Of rows with one id, one
+    goes by it; the others, and rows with null ids, go by numbers beyond all ids. Other columns are not read; no rows give no rows.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = cut(d.mapInPandas(_describe(bands, rows, words), "id long, n long, digest binary, keys array<long>, bits array<long>"))
-    # Equal sets have equal keys, so any row of the class will do.
-    classes = cut(described.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    buckets = classes.select(F.col("rep").alias("v"), "n", "bits", F.posexplode("keys").alias("band", "key"))
-    crowded = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    docs, key, same = keyed(docs, id_col)
+    d = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
+    described = cut_table(d.mapInPandas(_describe(bands, rows, words), "id long, n long, digest binary, keys array<long>, bits array<long>, fold array<long>"))
+    firsts = cut(described.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")))
+    reps = cut_table(described.drop("digest").join(firsts.select(F.col("rep").alias("id")), "id", "left_semi"))
+    buckets = reps.select(F.col("id").alias("v"), F.explode("keys").alias("key"))
     # Buckets with one member are most of all; only the others are kept.
-    members = cut(buckets.join(crowded.drop("size"), ["band", "key"]))
-    # The full sets of what shares a bucket are made once, as one table that all rounds read.
-    sets = cut(d.join(members.select(F.col("v").alias("id")).distinct(), "id", "left_semi").mapInPandas(_sets(words), "id long, bits binary"))
+    crowded = buckets.groupBy("key").agg(F.min("v").alias("h"), F.count("*").alias("size")).where("size > 1").select("key", "h")
+    members = cut_table(buckets.join(crowded, "key").where("v <> h"))
+    pairs = members.select(F.col("h").alias("a"), F.col("v").alias("b"))
+    rest = members.select("key", "v")  # the head has met all others
     links, labels = None, None
-    # Exact bounds, before any set is read: by size, and by the bits in which the sketches differ.
-    near_size = (
-        f"100 * least({{x}}n, {{y}}.n) >= {percent} * greatest({{x}}n, {{y}}.n) and aggregate(zip_with({{x}}bits, {{y}}.bits, (i, j) -> bit_count(i ^ j)), 0, (s, z) -> s + z)"
-        f" * {100 + percent} <= ({{x}}n + {{y}}.n) * {100 - percent}"
-    )
     for turn in range(rounds + 1):
-        m = members.withColumn("c", F.col("v")) if labels is None else members.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
-        heads = m.groupBy("band", "key").agg(F.min(F.struct("v", "n", "c", "bits")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "key", "h")
-        open_ = cut(m.join(heads, ["band", "key"]))
-        if open_.isEmpty():
-            break
-        if turn < rounds:
-            pairs = open_.where("c <> h.c").where(near_size.format(x="", y="h")).select(F.col("h.v").alias("a"), F.col("v").alias("b"))
-        else:
-            # What few rounds did not settle: members of unlike components, each pair at its first shared bucket or later ones.
-            x, y = open_.alias("x"), open_.alias("y")
-            on = F.expr("x.band = y.band and x.key = y.key and x.v < y.v and x.c <> y.c")
-            pairs = x.join(y, on & F.expr(near_size.format(x="x.", y="y"))).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-        found = cut(_confirm(sets, cut(pairs.distinct()), percent))
-        members = open_.where("v <> h.v").select("v", "n", "bits", "band", "key")  # the head has met all others
+        found = cut(_confirm(d, _possible(pairs.distinct(), reps, percent), percent, words))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-    reps = classes.select("digest", "rep")
+        if turn == rounds:
+            break
+        m = rest.withColumn("c", F.col("v")) if labels is None else rest.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+        heads = m.groupBy("key").agg(F.min(F.struct("v", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "h")
+        open_ = cut_table(m.join(heads, "key"))
+        if open_.isEmpty():
+            break
+        if turn < rounds - 1:
+            pairs = open_.where("c <> h.c").select(F.col("h.v").alias("a"), F.col("v").alias("b"))
+        else:
+            # What few rounds did not settle: members of unlike components, under the short sketches.
+            full = open_.select("key", "v", "c").join(reps.select(F.col("id").alias("v"), "n", "fold"), "v")
+            x, y = full.alias("x"), full.alias("y")
+            pairs = x.join(y, F.expr(f"x.key = y.key and x.v < y.v and x.c <> y.c and {_bound('x', 'y', 'fold', percent)}")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+        rest = open_.where("v <> h.v").select("key", "v")
+    by = firsts
     if labels is not None:
-        reps = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+        by = by.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    else:
+        by = by.withColumnRenamed("rep", "component")
+    out = described.select("id", "n", "digest").join(by, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if same:
+        out = out.withColumn("own", F.col("id"))
     else:
-        reps = reps.withColumnRenamed("rep", "component")
-    out = described.select("id", "n", "digest").join(reps, "digest", "left")
-    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+        out = out.join(docs.select(F.col(key).alias("id"), F.col(id_col).cast("long").alias("own")), "id")
+    return out.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets meet the bound."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and long sketches allow to be linked."""
+    facts = reps.select("id", "n", "bits")
+    x, y = facts.withColumnRenamed("id", "a").alias("x"), facts.withColumnRenamed("id", "b").alias("y")
+    both = pairs.join(x, "a").select("b", F.struct("a", "n", "bits").alias("x")).join(y.select("b", F.struct("n", "bits").alias("y")), "b")
+    return cut(both.where(_bound("x", "y", "bits", percent)).select("x.a", "b"))
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            shared = len(p) + len(q) - len(np.union1d(p, q))
-            out.append(100 * shared >= percent * (len(p) + len(q) - shared))
-        return pd.Series(out, dtype=bool)
 
-    return both.where(linked("x", "y")).select("a", "b")
+def _confirm(d: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs whose full sets meet the bound; sets are made of the texts in pairs only."""
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = cut_table(d.join(small(wanted), "id", "left_semi").mapInPandas(_sets(words), "id long, set array<long>"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of all documents; see near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
