@@ -19,10 +19,14 @@ MOST = 65_535
 ROUNDS = 2
 
 
+#: A line's place in the order by (id, line), as one number.
+PLACE = "cast(id as decimal(20,0)) * 2147483648 + line"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line, t, key, pos): every line that is not blank, the hash of its text and its place in the order by (id, line)."""
+    """(id, line, t, key, pos): every line that is not blank, the hash of its text and its place."""
     d = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
-    return d.withColumns({"key": F.xxhash64("t"), "pos": F.expr("cast(id as decimal(20,0)) * 2147483648 + line")})
+    return d.withColumns({"key": F.xxhash64("t"), "pos": F.expr(PLACE)})
 
 
 def _rarity(lines: DataFrame):
@@ -80,7 +84,9 @@ TOKEN = "shiftrightunsigned({}.c, 32)"
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Keys of late of the pairs (early, late) whose whole sets are similar."""
+    """Keys of late of the pairs (early, late) whose whole sets are similar; only sets of texts in pairs are moved."""
+    pairs = cut(pairs)
+    sets = sets.join(small(cut(pairs.select(F.col("early").alias("key")).union(pairs.select("late")).distinct())), "key", "left_semi")
     both = pairs.join(sets.select(F.col("key").alias("early"), F.col("o").alias("p")), "early").join(sets.select(F.col("key").alias("late"), F.col("o").alias("q")), "late")
     shared = F.size(F.array_intersect("p", "q"))
     return both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select(F.col("late").alias("key")).distinct()
@@ -97,11 +103,10 @@ def _later(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     x, y = index.alias("x"), index.alias("y")
     met = x.join(y, F.expr(f"{TOKEN.format('x')} = {TOKEN.format('y')} and x.key <> y.key and {_near(percent)}"), "left_semi").distinct()
     met = cut_table(met)
-    keys = cut(met.select("key").distinct())
-    few = small(keys)
-    # Their sets, one row for each text; other copies of a common text are gone already.
-    sets = cut_table(once.join(few, "key", "left_semi").select("key", "pos", _sets(rank).alias("o")).join(classes.select("key", F.col("first").alias("pos")), ["key", "pos"]).select("key", "o"))
-    met = cut_table(met.join(classes.join(few, "key", "left_semi").select("key", "first"), "key").withColumn("w", F.expr("shiftrightunsigned(c, 32)")))
+    firsts = cut(classes.join(small(cut(met.select("key").distinct())), "key", "left_semi").select("key", "first"))
+    # Their sets, one row for each text.
+    sets = cut_table(lines.join(small(firsts.withColumnRenamed("first", "pos")), ["key", "pos"], "left_semi").select("key", _sets(rank).alias("o")))
+    met = cut_table(met.join(firsts, "key").withColumn("w", F.expr("shiftrightunsigned(c, 32)")))
     # Then each line against the first line at its tokens, and what that leaves against the second: groups of copies of one line end here.
     settled, heads, rest = [], None, met
     for _ in range(ROUNDS):
@@ -125,12 +130,11 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Blank lines never match. Texts and words are known by 64-bit hashes. Null texts have no lines.
     """
     lines = _lines(docs)
-    at = lines.select("id", "line", "key", "pos")
-    classes = cut_table(at.groupBy("key").agg(F.min("pos").alias("first"), F.count("*").alias("copies")))
-    gone = _later(lines, classes, percent).select("key", F.lit(True).alias("gone"))
-    # A class of one line with nothing similar before it has nothing to remove.
-    judged = classes.join(gone, "key", "left").where((F.col("copies") > 1) | F.col("gone")).select("key", "first", "gone")
-    return at.join(judged, "key").where(F.col("gone") | (F.col("pos") > F.col("first"))).select("id", "line")
+    classes = cut_table(lines.groupBy("key").agg(F.min("pos").alias("first"), F.count("*").alias("copies")))
+    gone = _later(lines, classes, percent).select("key", F.lit(None).alias("first"))
+    # What has something to remove: classes of several lines, all but the first, and those that go whole.
+    judged = classes.where("copies > 1").select("key", "first").union(gone).groupBy("key").agg(F.max("first").alias("first"), F.max(F.col("first").isNull()).alias("gone"))
+    return lines.select("id", "line", "key").join(judged, "key").where(F.expr(f"gone or {PLACE} > first")).select("id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
