@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import lines, minhash, packing, pii, quality
-from evidentia.llm.common import cut_table, table
+from evidentia.llm.common import keyed, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,59 +17,42 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs plus _key: a long of its own for each row.
-
-    It is the doc_id where that is not null and stands for the first time; null and repeated ids get numbers beyond all ids.
-    """
-    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n"))
-    most, low, high, nulls = ids.agg(F.max("n"), F.min("id"), F.max("id"), F.count_if(F.col("id").isNull())).first()
-    if most is None or (most == 1 and not nulls):
-        return docs.withColumn("_key", F.col("doc_id").cast("long"))
-    # Written once, as the row numbers must not change between reads.
-    rows = cut_table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    firsts = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    other = F.lit(0 if high is None else high + 1) + F.col("_row") if high is None or high < 2**62 else F.lit(low - 1) - F.col("_row")
-    own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == F.col("_row")))
-    keyed = rows.join(firsts, F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.when(own, F.col("doc_id").cast("long")).otherwise(other))
-    return keyed.drop("_id", "_first", "_n", "_row")
-
-
-def _distinct(keyed: DataFrame) -> DataFrame:
-    """keyed without rows that repeat an earlier row's doc_id and text; null ids name no document, so they are never repeats."""
-    again = keyed.where("doc_id is not null and (doc_id <> _key)").select("doc_id").distinct()
+def _distinct(docs: DataFrame, key: str) -> DataFrame:
+    """docs without rows that repeat an earlier row's doc_id and text; null ids name no document, so they are never repeats."""
+    again = docs.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col(key))).select("doc_id").distinct()
     if again.isEmpty():
-        return keyed
+        return docs
     digest = F.coalesce(F.sha2("text", 256), F.lit(""))
-    first = keyed.join(again, "doc_id", "left_semi").groupBy("doc_id", digest.alias("d")).agg(F.min_by("_key", F.struct(F.col("_key") != F.col("doc_id"), "_key")).alias("_key"))
-    plain = keyed.join(again, "doc_id", "left_anti")
-    return plain.unionByName(keyed.join(first.select("_key"), "_key", "left_semi").select(*plain.columns))
+    first = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", digest.alias("d")).agg(F.min_by(key, F.struct(F.col(key) != F.col("doc_id"), F.col(key))).alias(key))
+    plain = docs.join(again, "doc_id", "left_anti")
+    return plain.unionByName(docs.join(first.select(key), key, "left_semi").select(*plain.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (predicted 0) go."""
+    """Documents that the classifier rejects (predicted 0) go; null and empty texts are judged as all others."""
     return _documents(quality.score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later similar lines leave the texts; a document stays even if its text is then empty."""
-    return _documents(lines.dedup_lines(_keyed(docs), "_key"))
+    """Later similar lines leave the texts; a document stays even if its text is then empty, null texts stay null."""
+    return _documents(lines.dedup_lines(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least key) of each group stays; shingles of five words, similarity 0.8."""
-    keyed = _distinct(_keyed(docs))
-    kept = minhash.near_duplicates(keyed, percent=80, id_col="_key").where("kept").select("_key")
-    return _documents(keyed.join(kept, "_key", "left_semi"))
+    """One document (the least id) of each group stays; shingles of five words, similarity 0.8. Documents without words and with null ids stay, of rows that repeat id and text one does."""
+    docs, key, _ = keyed(docs, "doc_id")
+    docs = _distinct(docs, key)
+    kept = minhash.near_duplicates(docs, percent=80, id_col=key).where("kept").select(key)
+    return _documents(docs.join(kept, key, "left_semi"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and terms that disclose it are generalised to tags."""
-    return _documents(pii.redact(_keyed(docs), "_key"))
+    """Personal data and terms that disclose it are generalised to tags; null texts stay null."""
+    return _documents(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's words in bins."""
+    """Every document's words in bins; documents without words have one empty piece."""
     return packing.best_fit_pack(docs, packing.n_words(F.col("text")))
 
 
