@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, table_queries
+from .plans import change_queries, contract_queries, flow_queries, graph_queries, policy_queries, source_queries, table_queries
 
-QUERIES: dict = {**graph_queries.QUERIES, **table_queries.QUERIES}
-ORACLE_SQL: dict = {**graph_queries.ORACLE_SQL, **table_queries.ORACLE_SQL}
+_PLANS = (graph_queries, table_queries, policy_queries, change_queries, flow_queries, contract_queries, source_queries)
+QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

@@ -1 +1 @@
-"""Evidence analytics on Spark."""
+"""Column functions shared by operators and queries."""

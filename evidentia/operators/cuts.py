@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(df: DataFrame) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; one of the tests' own only on a local master."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None and not sc.master.startswith("local["):
@@ -21,12 +21,12 @@ def _folder(df: DataFrame) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder; the cluster may clear what is no longer used."""
-    _folder(df)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def cut_table(df: DataFrame) -> DataFrame:
     """As cut(), but as a compressed Parquet table, for what is large; it stays until the folder is cleared."""
-    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -38,10 +38,14 @@ def neighbours(edges: DataFrame, node: str, relations: tuple[str, ...] = (), off
     return page.join(F.broadcast(total))  # one row
 
 
-def khop(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, blocked: tuple[str, ...] = ()) -> DataFrame:
-    """(id, distance) of all nodes within depth steps of seeds(id); nodes of blocked kinds are reached but not passed."""
+def khop(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, blocked: tuple[str, ...] = (), until: str | None = None) -> DataFrame:
+    """(id, distance) of all nodes within depth steps of seeds(id); nodes of blocked kinds are reached but not passed.
+
+    With until, no step is made beyond the one that reaches that node.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).alias("id"), F.col(b).alias("to")).distinct()
+    # Cut once: each step then reads the edge list, and exchanges only the frontier where that is small.
+    step = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("to")).distinct())
     seen = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0).cast("long")))
     front = seen
     for k in range(1, depth + 1):
@@ -50,13 +54,15 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False,
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if until is not None and not front.where(F.col("id") == until).isEmpty():
+            break
     return seen
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:
     """All edges that lie on some shortest directed path: (hop, src, dst, kind, evidence), parallel relations kept."""
-    spark = edges.sparkSession
-    ahead = khop(edges, spark.createDataFrame([(source,)], "id string"), max_hops)
+    spark, edges = edges.sparkSession, cut(edges)
+    ahead = khop(edges, spark.createDataFrame([(source,)], "id string"), max_hops, until=target)
     found = ahead.where(F.col("id") == target).first()
     if found is None:
         return edges.limit(0).select(F.lit(0).cast("long").alias("hop"), "src", "dst", "kind", "evidence")
@@ -78,21 +84,6 @@ def weak_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """Strongly connected pairs' components: (id, component) for nodes on a cycle, by forward and backward closure.
-
-    For quotient graphs, whose size does not grow with the data.
-    """
-    reach = cut(edges.select("src", "dst").distinct())
-    while True:
-        more = cut(reach.union(reach.alias("x").join(reach.alias("y"), F.col("x.dst") == F.col("y.src")).select("x.src", "y.dst")).distinct())
-        if more.count() == reach.count():
-            break
-        reach = more
-    mutual = reach.alias("x").join(reach.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src")))
-    return mutual.groupBy(F.col("x.src").alias("id")).agg(F.min(F.least("x.src", "x.dst")).alias("component"))
-
-
 def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
     """(src, dst, kind, change): edges added or removed, or whose evidence changed."""
     x, y = before.withColumnRenamed("evidence", "e0"), after.withColumnRenamed("evidence", "e1")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -37,31 +40,53 @@ def fk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    def edge(d, kind, a, b):
-        return d.select(_id(*a).alias("src"), _id(*b).alias("dst"), F.lit(kind).alias("kind"), F.lit(EVIDENCE[kind]).alias("evidence"))
-    line = t("lineitem")
-    out = edge(t("nation"), "contains", ("region", "n_regionkey"), ("nation", "n_nationkey"))
-    for d, kind, a, b in [
-        (t("customer"), "contains", ("nation", "c_nationkey"), ("customer", "c_custkey")),
-        (t("supplier"), "contains", ("nation", "s_nationkey"), ("supplier", "s_suppkey")),
-        (t("orders"), "places", ("customer", "o_custkey"), ("order", "o_orderkey")),
-        (line.select("l_orderkey", "l_partkey").distinct(), "includes", ("order", "l_orderkey"), ("part", "l_partkey")),
-        (line.select("l_orderkey", "l_suppkey").distinct(), "fulfilled_by", ("order", "l_orderkey"), ("supplier", "l_suppkey")),
-        (line.select("l_suppkey", "l_partkey").distinct(), "supplies", ("supplier", "l_suppkey"), ("part", "l_partkey")),
-    ]:
-        out = out.unionByName(edge(d, kind, a, b))
+#: table, its columns to make distinct (none: rows are edges), relation, source and target (kind, key).
+RELATIONS = [
+    ("nation", (), "contains", ("region", "n_regionkey"), ("nation", "n_nationkey")),
+    ("customer", (), "contains", ("nation", "c_nationkey"), ("customer", "c_custkey")),
+    ("supplier", (), "contains", ("nation", "s_nationkey"), ("supplier", "s_suppkey")),
+    ("orders", (), "places", ("customer", "o_custkey"), ("order", "o_orderkey")),
+    ("lineitem", ("l_orderkey", "l_partkey"), "includes", ("order", "l_orderkey"), ("part", "l_partkey")),
+    ("lineitem", ("l_orderkey", "l_suppkey"), "fulfilled_by", ("order", "l_orderkey"), ("supplier", "l_suppkey")),
+    ("lineitem", ("l_suppkey", "l_partkey"), "supplies", ("supplier", "l_suppkey"), ("part", "l_partkey")),
+]
+
+
+def fk_edges(spark: SparkSession, sf_dir: str, node: str | None = None) -> DataFrame:
+    """All edges, or those of one node: its key then goes to the scans as a typed filter, before ids are built."""
+    out = None
+    kind_, _, key = (node or "").partition(":")
+    for name, distinct, kind, a, b in RELATIONS:
+        d = table(spark, sf_dir, name)
+        if node:
+            ends = [F.col(c) == F.lit(int(key)).cast(d.schema[c].dataType) for k, c in (a, b) if k == kind_]
+            if not ends:
+                continue
+            d = d.where(reduce(or_, ends))
+        d = d.select(*distinct).distinct() if distinct else d
+        e = d.select(_id(*a).alias("src"), _id(*b).alias("dst"), F.lit(kind).alias("kind"), F.lit(EVIDENCE[kind]).alias("evidence"))
+        out = e if out is None else out.unionByName(e)
     return out
 
 
-def basket_edges(spark: SparkSession, sf_dir: str, when: str = "o_orderdate >= '1997-01-01' and o_orderdate < '1997-01-08'") -> DataFrame:
-    """customer - part pairs of the orders that meet when: one week's (1997-01-01 to 1997-01-07), or with "true" all."""
-    o = table(spark, sf_dir, "orders").where(when)
-    d = o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+def basket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer - part pairs of all orders."""
+    d = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return d.select(_id("customer", "o_custkey").alias("src"), _id("part", "l_partkey").alias("dst")).distinct()
 
 
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer nation -> the two other nations that most of its line items come from, ties by name."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("src"))
+    p = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("dst"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = l.groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("k")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_suppkey") == F.col("s_suppkey"))
+    weight = pairs.groupBy("src", "dst").agg(F.sum("k").alias("weight")).where("src <> dst")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    return weight.withColumn("r", rank).where("r <= 2").select("src", "dst", F.lit("trades").alias("kind"), "weight")
+
+
 #: The same graphs in SQL.
 NODES_SQL = """fk_nodes AS (
   SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS label, r_name AS path FROM region
@@ -78,3 +103,6 @@ EDGES_SQL = """fk_edges AS (
   UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 'includes', 'resolved' FROM lineitem
   UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'fulfilled_by', 'resolved' FROM lineitem
   UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies', 'resolved' FROM lineitem)"""
+TRADE_SQL = """trade AS (SELECT src, dst, 'trades' AS kind FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM (
+  SELECT nc.n_name AS src, ns.n_name AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation nc ON c_nationkey = nc.n_nationkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey WHERE nc.n_name <> ns.n_name GROUP BY 1, 2)) WHERE r <= 2)"""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.cuts import cut
+from ..operators import links, source
 from ..sources.tables import table
 
 
@@ -18,14 +16,6 @@ def _lines(s, d):
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
 
 
-def search(lines, found, per_document: int):
-    """Matching lines of each document, at most per_document, with the document's total kept."""
-    hit = lines.where(found)
-    total = hit.groupBy("doc_id").agg(F.count("*").alias("total"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    return hit.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_document).join(total, "doc_id").select("doc_id", "line_no", "total")
-
-
 def lines_window(s, d):
     return _lines(s, d).where("doc_id = 7 and line_no between 2 and 6")
 
@@ -54,9 +44,8 @@ def memory_asof(s, d):
 
 def context_budget(s, d, budget: int = 400):
     """The latest turns of each conversation whose texts fit a budget of characters."""
-    c = table(s, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("used", F.sum(F.length("text").cast("long")).over(w)).where(F.col("used") <= budget).select("conv_id", "turn", "role", "used")
+    c = table(s, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
+    return source.fit_budget(c, "conv_id", "turn", "chars", budget).select("conv_id", "turn", "role", "used")
 
 
 def contract_verdicts(s, d):
@@ -77,67 +66,30 @@ def policy_forbid(s, d):
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("customer_nation", "supplier_nation").agg(F.count("*").alias("violations"))
 
 
-def vector_topk(s, d, queries: int = 5, k: int = 10):
-    """Exact cosine top k for the first query vectors; the queries are few and broadcast, rows stream past them."""
-    dot = "aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, z) -> s + z)"
-    e = table(s, d, "embeddings").withColumn("norm", F.expr("sqrt(" + dot.format(a="embedding", b="embedding") + ")"))
-    q = e.where(F.col("vec_id") < queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    c = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(F.expr(dot.format(a="embedding", b="q") + " / (norm * qn)"), 6))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return c.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
-
-
-def vector_topk_whole(s, d, every: int = 100, k: int = 10, block: int = 1_000):
-    """Exact cosine top k of every vector whose id is divisible by every, among all others; null and zero vectors have none.
-
-    Queries run in blocks of a fixed size; each task keeps a block's k best rows of its batches.
-    """
-    e = table(s, d, "embeddings").where("embedding is not null and exists(embedding, x -> x <> 0)").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where(F.col("vec_id") % every == 0).select("vec_id")
-    out, last = [], None
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    while True:
-        ids = [r[0] for r in (q if last is None else q.where(F.col("vec_id") > last)).orderBy("vec_id").limit(block).collect()]
-        if not ids:
-            break
-        first, last = ids[0], ids[-1]
-        got = e.where((F.col("vec_id") % every == 0) & F.col("vec_id").between(first, last)).collect()
-        found = cut(e.mapInPandas(_best_of(np.array([r[0] for r in got]), np.array([r[1] for r in got], float), k), "query_id long, vec_id long, similarity double"))
-        out.append(found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity"))
-    if not out:
-        return s.createDataFrame([], "query_id long, rank long, vec_id long, similarity double")
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
-
-
-def _best_of(ids, vectors, k: int):
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-
-    def run(batches):
-        best = pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.array([np.asarray(x, float) for x in pdf["v"]])
-            rows = pdf["vec_id"].to_numpy()
-            sim = np.round(unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-            sim[ids[:, None] == rows[None, :]] = -np.inf
-            # Rows by id first, so a stable sort settles ties by id.
-            by_id = np.argsort(rows, kind="stable")
-            top = by_id[np.argsort(-sim[:, by_id], axis=1, kind="stable")[:, :k]]
-            new = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "vec_id": rows[top].ravel(), "similarity": np.take_along_axis(sim, top, 1).ravel()})
-            both = pd.concat([best, new[np.isfinite(new["similarity"])]]).sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True])
-            best = both.groupby("query_id").head(k)
-        yield best
-
-    return run
+def vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def every_hundredth(rows):
+    """The queries of a search: rows whose id is divisible by 100."""
+    return rows.where(F.col("id") % 100 == 0).select("id")
+
+
+def vector_topk(s, d, k: int = 10, block: int = 1_000):
+    """Exact cosine top k, among all vectors, of every vector whose id is divisible by 100."""
+    rows = vectors(s, d)
+    return links.top_k(rows, every_hundredth(rows), k, block).withColumnRenamed("id", "vec_id")
+
+
+def _search(s, d, matches, **context):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return source.matching_lines(docs, matches, 3, **context).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
-    "line_search_literal": lambda s, d: search(_lines(s, d), F.contains("line", F.lit("the")), 3),
-    "line_search_regex": lambda s, d: search(_lines(s, d), F.col("line").rlike("[0-9]{4,}"), 3),
+    "line_search_literal": lambda s, d: _search(s, d, lambda x: F.contains(x, F.lit("the"))).drop("context"),
+    "line_search_regex": lambda s, d: _search(s, d, lambda x: x.rlike("[0-9]{4,}")).drop("context"),
+    "line_search_context": lambda s, d: _search(s, d, lambda x: F.contains(x, F.lit("the")), before=1, after=1),
     "read_lines_window": lines_window,
     "exact_duplicates": lambda s, d: table(s, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"),
     "commit_hotspots": lambda s, d: table(s, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(20),
@@ -147,27 +99,25 @@ QUERIES = {
     "token_budget_fit": context_budget,
     "event_contract_verdicts": contract_verdicts,
     "policy_forbid_direct": policy_forbid,
-    "dead_nodes": lambda s, d: table(s, d, "part").select("p_partkey", "p_name").join(table(s, d, "lineitem").where("l_shipdate >= '1998-01-01' and l_shipdate < '1998-02-01'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"),
-    # Over all line items, not one month's.
-    "dead_nodes_whole": lambda s, d: table(s, d, "part").select("p_partkey", "p_name").join(table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"),
+    # Parts in no line item at all.
+    "dead_nodes": lambda s, d: table(s, d, "part").select("p_partkey", "p_name").join(table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"),
     "coverage_by_source": lambda s, d: table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels").select("doc_id", F.lit(1).alias("hit")), "doc_id", "left").groupBy("source").agg(F.count("*").alias("found"), F.count("hit").alias("hit")),
     "vector_topk_exact": vector_topk,
-    # Every hundredth vector as a query, not five.
-    "vector_topk_whole": vector_topk_whole,
     "endpoint_listing": lambda s, d: table(s, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path")),
     "shared_across_repositories": lambda s, d: table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_partkey").agg(F.count_distinct("s_nationkey").alias("nations")).where("nations > 1"),
 }
 _DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
 
 
-def _search_sql(cond: str) -> str:
+def _search_sql(cond: str, more: str = "") -> str:
     return f"""WITH {_LINES}, h AS (SELECT doc_id, line_no FROM l WHERE {cond}),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM h) SELECT doc_id, line_no, total FROM r WHERE k <= 3"""
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM h) SELECT doc_id, line_no, total{more} FROM r{" JOIN documents USING (doc_id)" if more else ""} WHERE k <= 3"""
 
 
 ORACLE_SQL = {
     "line_search_literal": _search_sql("contains(line, 'the')"),
     "line_search_regex": _search_sql("regexp_matches(line, '[0-9]{4,}')"),
+    "line_search_context": _search_sql("contains(line, 'the')", ", array_to_string(string_split(text, chr(10))[greatest(line_no - 1, 1):line_no + 1], chr(10)) AS context"),
     "read_lines_window": f"WITH {_LINES} SELECT doc_id, line_no, line FROM l WHERE doc_id = 7 AND line_no BETWEEN 2 AND 6",
     "exact_duplicates": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "commit_hotspots": "SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20",
@@ -181,10 +131,10 @@ SELECT event_type, CAST(day AS VARCHAR) AS day, percent, CASE WHEN percent > 20
 SELECT *, CASE WHEN producers > 0 AND consumers > 0 THEN 'matched' WHEN producers > 0 THEN 'no_consumer' WHEN consumers > 0 THEN 'no_producer' ELSE 'unused' END AS verdict FROM g""",
     "policy_forbid_direct": """SELECT nc.n_name AS customer_nation, ns.n_name AS supplier_nation, count(*) AS violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation nc ON c_nationkey = nc.n_nationkey
 JOIN region rc ON nc.n_regionkey = rc.r_regionkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey JOIN region rs ON ns.n_regionkey = rs.r_regionkey WHERE rc.r_name = 'ASIA' AND rs.r_name = 'EUROPE' GROUP BY 1, 2""",
-    "dead_nodes": "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-02-01')",
+    "dead_nodes": "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)",
     "coverage_by_source": "SELECT source, count(*) AS found, count(labels.doc_id) AS hit FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "vector_topk_exact": f"""WITH e AS (SELECT vec_id, embedding, sqrt({_DOT.format(a='embedding', b='embedding')}) AS norm FROM embeddings),
-c AS (SELECT q.vec_id AS query_id, e.vec_id, round({_DOT.format(a='e.embedding', b='q.embedding')} / (e.norm * q.norm), 6) AS similarity FROM e JOIN e q ON e.vec_id <> q.vec_id AND q.vec_id < 5),
+c AS (SELECT q.vec_id AS query_id, e.vec_id, round({_DOT.format(a='e.embedding', b='q.embedding')} / (e.norm * q.norm), 6) AS similarity FROM e JOIN e q ON e.vec_id <> q.vec_id AND q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM c) SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 10""",
     "endpoint_listing": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages",
     "shared_across_repositories": "SELECT l_partkey, count(DISTINCT s_nationkey) AS nations FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) > 1",

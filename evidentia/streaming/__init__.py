@@ -1 +1 @@
-"""Evidence analytics on Spark."""
+"""Structured Streaming forms of batch answers."""

@@ -1,10 +1,8 @@
-"""Queries over whole tables against brute force on a small fixture."""
+"""Queries without SQL against brute force on a small fixture."""
 
-import numpy as np
 import pandas as pd
 
 import __spark_entry__ as entry
-from evidentia.plans.table_queries import vector_topk_whole
 
 
 def fixture(tmp_path):
@@ -18,20 +16,7 @@ def fixture(tmp_path):
 
 def test_components_and_dead_nodes(spark, tmp_path):
     d, q = fixture(tmp_path), entry.queries()
-    got = {tuple(r) for r in q["weak_components_whole"](spark, d).collect()}
+    got = {tuple(r) for r in q["weak_components"](spark, d).collect()}
     assert got == {(x, "customer:1") for x in ("customer:1", "part:1", "part:3")} | {(x, "customer:2") for x in ("customer:2", "customer:3", "part:2", "part:4")}
-    assert [tuple(r) for r in q["connectivity_communities_whole"](spark, d).collect()] == [("customer:2", 4), ("customer:1", 3)]
-    assert {r["p_partkey"] for r in q["dead_nodes_whole"](spark, d).collect()} == {5, 6}
-
-
-def test_vector_topk_whole(spark):
-    d = "/root/testdata/sf0.001"
-    at = {r[0]: np.array(r[1], float) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()}
-    unit = {i: v / np.linalg.norm(v) for i, v in at.items()}
-    want = {}
-    for q in (i for i in at if i % 100 == 0):
-        ranked = sorted((-round(float(unit[q] @ v), 6), i) for i, v in unit.items() if i != q)
-        want |= {(q, n + 1): (i, -x) for n, (x, i) in enumerate(ranked[:10])}
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["similarity"]) for r in vector_topk_whole(spark, d, block=2).collect()}
-    assert len(want) >= 50 and got.keys() == want.keys() and all(abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
-    assert sum(got[x][0] == want[x][0] for x in want) >= 0.99 * len(want)
+    assert [tuple(r) for r in q["connectivity_communities"](spark, d).collect()] == [("customer:2", 4), ("customer:1", 3)]
+    assert {r["p_partkey"] for r in q["dead_nodes"](spark, d).collect()} == {5, 6}
