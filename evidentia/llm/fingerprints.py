@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keyed, table
 
 BUCKETS = 256
 
@@ -40,58 +40,59 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, 1.0 - steps / (1.7 * len(d)))
 
 
-def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs dealt into id ranges (column _range), each with the next range's first row (_ahead true) as its last.
+#: Characters of text in a range of ids, about; a range goes through one task.
+RANGE = 64_000_000
 
-    Only the ranges' first ids come to the driver, as many as there are partitions. After the last row comes the first.
+
+def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """(id, own, text, _range, _ahead): docs dealt into id ranges, each with the next range's first row (_ahead true) as its last.
+
+    Only the ranges' first ids come to the driver, one for RANGE characters (least ranges at least). After the last row
+    comes the first. Of rows with one id, one goes by it; the others, and rows with null ids, come after all ids.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = d.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    cuts = sorted(set(d.approxQuantile("id", [i / int(n) for i in range(1, int(n))], 0.002))) if int(n) > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<long>")
-    dealt = d.withColumn("_range", F.size(F.filter(bounds, lambda c: c < F.col("id"))) if len(cuts) < 64 else _range_of(cuts)("id"))
+    docs, key, _ = keyed(docs, id_col)
+    d = docs.select(F.col(key).alias("id"), F.col(id_col).cast("long").cast("string").alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n = max(least, -(-(d.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // RANGE))
+    cuts = d.approxQuantile("id", [i / n for i in range(1, n)], min(0.01, 0.2 / n)) if n > 1 else []
+    edges = np.unique(np.clip(np.array(cuts, float), -9.2e18, 9.2e18).astype(np.int64))
+    dealt = d.withColumn("_range", F.pandas_udf(lambda s: pd.Series(np.searchsorted(edges, s.to_numpy(), side="left").astype("int32")), "int")("id"))
     firsts = {r["_range"]: r["lo"] for r in dealt.groupBy("_range").agg(F.min("id").alias("lo")).collect()}
     order = sorted(firsts)
-    ahead = [(firsts[r], order[i - 1]) for i, r in enumerate(order)]
-    if not ahead:
-        return dealt.withColumn("_ahead", F.lit(False))
-    extra = F.coalesce(*[F.when(F.col("id") == lo, F.lit(before)) for lo, before in ahead])
-    copies = dealt.where(F.col("id").isin([lo for lo, _ in ahead])).withColumn("_range", extra)
+    # One row a range, as few as the ranges are.
+    ahead = d.sparkSession.createDataFrame([(firsts[r], order[i - 1]) for i, r in enumerate(order)], "id long, _range int")
+    copies = d.join(F.broadcast(ahead), "id")
     return dealt.withColumn("_ahead", F.lit(False)).unionByName(copies.withColumn("_ahead", F.lit(True)))
 
 
-def _range_of(cuts):
-    edges = np.array(cuts)
-    return F.pandas_udf(lambda s: pd.Series(np.searchsorted(edges, s.to_numpy(), side="left").astype("int32")), "int")
-
-
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, its edited text and their likeness; see op3 for the columns.
 
-    Null texts are empty; an empty text's digest has all buckets at quartile 0. Repeated ids keep any order among them.
+    One row for each of docs, in the order of next_documents. Null texts are empty; an empty text's digest has all
+    buckets at quartile 0; long texts are digested whole. Other columns are not read. No rows give no rows.
     """
 
     def judge(batches):
-        before = None  # (range, id, text, fingerprint)
+        before = None  # (range, id, own, text, fingerprint)
         for pdf in batches:
             out = []
-            for rng, ahead, i, text in zip(pdf["_range"], pdf["_ahead"], pdf["id"], pdf["text"]):
+            for rng, ahead, i, own, text in zip(pdf["_range"], pdf["_ahead"], pdf["id"], pdf["own"], pdf["text"]):
                 fp = fingerprint(text.encode("utf-8", "surrogatepass"))
                 if before is not None and before[0] == rng:
-                    _, i0, t0, f0 = before
+                    _, o0, t0, f0 = before
                     k = len(t0) // 4
                     edited = (t0[: len(t0) - k] + text[:k]).encode("utf-8", "surrogatepass")
                     fe = fingerprint(edited)
-                    out.append((i0, len(t0), hashlib.sha256(edited).hexdigest(), f0, fe, likeness(f0, fe), likeness(f0, fp)))
-                before = None if ahead else (rng, i, text, fp)
-            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                    out.append((o0, len(t0), hashlib.sha256(edited).hexdigest(), f0, fe, likeness(f0, fe), likeness(f0, fp)))
+                before = None if ahead else (rng, own, text, fp)
+            yield pd.DataFrame(out, columns=["own", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    dealt = next_documents(docs, id_col, text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "_range").sortWithinPartitions("_range", "_ahead", "id", "text")
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInPandas(judge, schema).withColumnRenamed("id", id_col)
+    dealt = next_documents(docs, id_col, text_col, n).repartition(F.col("_range")).sortWithinPartitions("_range", "_ahead", "id")
+    schema = "own string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = dealt.mapInPandas(judge, schema)
+    return out.select(F.col("own").cast("long").alias(id_col), *out.columns[1:])
 
 
 def op3_document_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; see compare_neighbours."""
     return compare_neighbours(table(spark, sf_dir, "documents"))

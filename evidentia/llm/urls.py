@@ -12,11 +12,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Rules ship to each executor as one file; beyond this many, split the list and judge in turns.
-MAX_RULES = 50_000_000
+#: Rules of one digest array; longer lists make several, which a task probes in turn.
+ARRAY_RULES = 50_000_000
 
 
 class DigestArray:
@@ -50,7 +50,8 @@ class DigestArray:
         want = np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), np.uint64, len(raw))
         at = np.searchsorted(self.keys, want)
         out = np.full(len(raw), -1, np.int64)
-        for i in np.flatnonzero(at < len(self.keys)):
+        fits = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == want) if len(self.keys) else []
+        for i in fits:
             k = int(at[i])
             while k < len(self.keys) and self.keys[k] == want[i]:
                 if self.text[self.ends[k] : self.ends[k + 1]].tobytes() == raw[i]:
@@ -59,24 +60,21 @@ class DigestArray:
                 k += 1
         return out
 
-    def rule(self, k: int) -> str:
-        return self.text[self.ends[k] : self.ends[k + 1]].tobytes().decode()
-
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     """pages plus host, path, rule, verdict. The longest rule that fits a host (or a parent domain) and path prefix wins.
 
-    No rule (also null urls and such without "://"): rule null, verdict allow, since only listed urls are blocked.
-    Columns of pages that have these names are replaced.
+    No rule (also null and empty urls and such without "://"): rule null, verdict allow, since only listed urls are blocked.
+    A rule that is listed twice has the last verdict. Columns of pages that have these names are replaced, all others and
+    all rows stay, repeated ones too; long urls are judged whole. No rows give no rows.
     """
-    rules = list(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: split the list")
+    rules = list(dict(rules).items())
     folder = tempfile.mkdtemp(prefix="spark-")
-    base = os.path.join(folder, f"rules-{os.path.basename(folder)}")  # Spark registers a file name once
-    for path in DigestArray.write(rules, base):  # the driver serves these files to its executors
-        spark.sparkContext.addFile(path)
-    name = os.path.basename(base)
+    names = []
+    for at in range(0, max(1, len(rules)), ARRAY_RULES):
+        names.append(f"rules-{os.path.basename(folder)}-{at}")  # Spark registers a file name once
+        for path in DigestArray.write(rules[at : at + ARRAY_RULES], os.path.join(folder, names[-1])):  # the driver serves these files to its executors
+            spark.sparkContext.addFile(path)
 
     url = F.coalesce(F.col(url_col), F.lit(""))
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substr(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise(F.lit(""))
@@ -85,26 +83,30 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules=RULES, url_col: str
 
     @F.pandas_udf("rule string, verdict string")
     def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        array = DigestArray(SparkFiles.get(name))
-        tries, owner = [], []
-        for i, (h, p) in enumerate(zip(hosts, paths)):
-            labels = h.split(".")
-            for n in array.paths:
-                if n <= len(p):
-                    for k in range(len(labels)):
-                        tries.append(".".join(labels[k:]) + p[:n])
-                        owner.append(i)
-        best: list[tuple[int, int]] = [(-1, -1)] * len(hosts)
-        for i, s, k in zip(owner, tries, array.probe(tries).tolist()):
-            if k >= 0:
-                best[i] = max(best[i], (len(s), k))
-        return pd.DataFrame({"rule": [array.rule(k) if k >= 0 else None for _, k in best], "verdict": ["block" if k >= 0 and array.verdicts[k] else "allow" for _, k in best]})
-
-    out = pages.withColumns({"host": host, "path": path}).withColumn("_j", judge("host", "path"))
-    return out.withColumns({"rule": F.col("_j.rule"), "verdict": F.col("_j.verdict")}).drop("_j")
+        best: list[tuple[int, str | None, str]] = [(-1, None, "allow")] * len(hosts)
+        for name in names:
+            array = DigestArray(SparkFiles.get(name))
+            tries, owner = [], []
+            for i, (h, p) in enumerate(zip(hosts, paths)):
+                labels = h.split(".")
+                for n in array.paths:
+                    if n <= len(p):
+                        for k in range(len(labels)):
+                            tries.append(".".join(labels[k:]) + p[:n])
+                            owner.append(i)
+            found = array.probe(tries)
+            for at in np.flatnonzero(found >= 0).tolist():
+                k = int(found[at])
+                best[owner[at]] = max(best[owner[at]], (len(tries[at]), tries[at], "block" if array.verdicts[k] else "allow"), key=lambda x: x[0])
+        return pd.DataFrame({"rule": [b[1] for b in best], "verdict": [b[2] for b in best]})
+
+    j = fresh(pages, "_j")
+    out = pages.withColumns({"host": host, "path": path}).withColumn(j, judge("host", "path"))
+    return out.withColumns({"rule": F.col(f"{j}.rule"), "verdict": F.col(f"{j}.verdict")}).drop(j)
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of all pages; see filter_urls."""
     return filter_urls(spark, table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 

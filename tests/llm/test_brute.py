@@ -207,7 +207,7 @@ def test_op5(spark):
 @pytest.mark.parametrize("s", ["<|", "<\\|", "<\\\\|im_end|>", "<|im_end|>\n", "\\<||", "&nl;\n&amp;"])
 def test_escape(s):
     assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)
-    assert chat.read_turn(f"{chat.START}{chat.escape_role(s)}\n{chat.escape(s)}{chat.END}") == (s, s)
+    assert chat.read_turns(f"{chat.START}{chat.escape_role(s)}\n{chat.escape(s)}{chat.END}" * 2) == [(s, s)] * 2
 
 
 def test_op3(spark):
