@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, keyed, table
 
 SAMPLE = 20_000
 #: Share of pairs exactly at the threshold that meet as candidates, and the tables spent on it before substrings get shorter.
@@ -95,10 +95,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     of the sample's pairs at the threshold meet. So recall does not fall as a label grows.
     Cosines come from the original vectors in double precision, so no false link is made. Equal
     vectors form a class and are not expanded into pairs. Null, zero, or non-finite vectors, and
-    null labels, have no links. Ids are taken as unique; no rows give no rows.
+    null labels, have no links. Of rows with one id, one goes by it; the others, and rows with null ids, go by numbers
+    beyond all ids. Other columns are not read; no rows give no rows.
     """
+    vectors, key, _ = keyed(vectors, id_col)
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(id_col).cast("long").alias("own"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     marked = rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("digest", F.when(F.col("fine"), F.sha2(F.to_json("v"), 256)))
     good = marked.where("fine")
@@ -108,7 +110,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     sizes = cut(classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).select("label", "d", wanted.alias("bits")))
     stats = sizes.agg(F.max("d"), F.collect_set("bits"), F.count("*")).first()
     if stats[0] is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select(F.col("own").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     dim = stats[0]
     got = classes.where(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()["v"]
     x = np.array([np.asarray(r, float) for r in got]).reshape(-1, dim)
@@ -149,9 +151,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     degree = links.select(F.col("a").alias("rep"), F.col("cb").alias("k")).union(links.select("b", "ca")).groupBy("rep").agg(F.sum("k").alias("k"))
     reps = classes.select("label", "digest", "rep", "copies").join(degree, "rep", "left").join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
     reps = reps.select("label", "digest", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("k"), F.coalesce("component", "rep").alias("c"))
-    out = marked.select("id", "label", "digest").join(reps, ["label", "digest"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("k", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), (F.coalesce("c", "id") == F.col("id")).alias("kept"))
+    out = marked.select("id", "own", "label", "digest").join(reps, ["label", "digest"], "left")
+    return out.select(F.col("own").alias(id_col), F.coalesce("k", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), (F.coalesce("c", "id") == F.col("id")).alias("kept"))
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of all vectors; see near_vectors."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

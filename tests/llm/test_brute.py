@@ -128,7 +128,7 @@ def test_op8_recall_of_large_label(spark):
     turn = "transform(sequence(1, 64), i -> xxhash64({0}, i) / 9.3e18D)"
     part = f"zip_with({turn.format('id - 65000')}, {turn.format('id')}, (x, y) -> x + 0.385D * y)"
     v = f"case when id >= 65000 then {part} else {turn.format('id')} end"
-    d = spark.range(0, 66_000, 1, 8).selectExpr("id as vec_id", f"{v} as embedding", "if(id between 2000 and 2100, 1, 0) as label").localCheckpoint()
+    d = spark.range(0, 66_000, 1, 8).selectExpr("id as vec_id", f"{v} as embedding", "if(id between 2000 and 2100, 1, 0) as label")
     at = {r[0]: np.array(r[1]) for r in d.where("vec_id < 1000 or vec_id >= 65000").select("vec_id", "embedding").collect()}
     links = {i for i in range(1000) if at[i] @ at[65_000 + i] >= 0.93 * math.sqrt((at[i] @ at[i]) * (at[65_000 + i] @ at[65_000 + i]))}
     got = {r["vec_id"] for r in embeddings.near_vectors(d).where("n_links > 0 and vec_id < 1000").collect()}
@@ -247,12 +247,90 @@ def test_op10(spark):
     assert np.mean([s >= 0.7 for s in good]) > 0.97
 
 
+def test_op10_fit(spark):
+    # Ridge and isotonic steps against plain numpy on all rows at once.
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, quality.N_STATS))
+    y = (x[:, 0] + 0.3 * rng.standard_normal(600) > 0).astype(int)
+    d = spark.createDataFrame([(i, [float(v) for v in r], int(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, _stats array<double>, y int").repartition(7)
+    m = quality.train(d)
+    fold = {r[0]: r[1] for r in d.select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5))).collect()}
+    fit, held = np.array([i for i in range(600) if fold[i]]), np.array([i for i in range(600) if not fold[i]])
+    assert np.allclose(m.mean, x[fit].mean(0)) and np.allclose(m.scale, x[fit].std(0))
+    z = m.features(x[fit])
+    assert np.allclose(m.beta, np.linalg.solve(z.T @ z + 1e-3 * len(fit) * np.eye(z.shape[1]) / 100, z.T @ y[fit]), atol=1e-6)
+    raw = m.features(x[held]) @ m.beta
+    bins = defaultdict(list)
+    for r, t in zip(raw, y[held]):
+        bins[math.floor(max(-0.5, min(1.49, r)) * 500)].append((r, t))
+    want = quality.isotonic(*np.array([(np.mean([r for r, _ in b]), np.mean([t for _, t in b]), len(b)) for _, b in sorted(bins.items())]).T)
+    assert all(np.allclose(a, b) for a, b in zip(m.knots, want)) and (np.diff(m.knots[1]) > 0).all()
+    # Pool adjacent violators against the least-squares monotone fit by its max-min formula.
+    v, w = rng.random(12), rng.integers(1, 5, 12).astype(float)
+    xs, ys = quality.isotonic(np.arange(12.0), v, w)
+    mean = lambda a, b: (v[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
+    full = [max(min(mean(a, b) for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]
+    assert np.allclose(ys, sorted(set(np.round(full, 12)))) and len(xs) == len(ys)
+
+
 def test_op10_empty(spark):
     d = documents(spark, [None, ""])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in quality.score_quality(d, labels).collect()] == [1.0, 1.0]
 
 
+def cost(bins):
+    return sum(packing.bin_cost(min(c for c in packing.CAPACITIES if c >= x)) for x in bins)
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+
+def test_op1_costs():
+    rng = random.Random(5)
+    worst = []
+    for _ in range(40):
+        lengths = [rng.randint(1, 6_000) for _ in range(6)]
+        best = min(cost([sum(b) for b in p]) for p in partitions(lengths) if all(sum(b) <= 8192 for b in p))
+        fill = defaultdict(int)
+        for (b, _), n in zip(packing.pack_lengths(lengths), lengths):
+            fill[b] += n
+        worst.append(cost(fill.values()) / best)
+    assert max(worst) < 1.35 and np.mean(worst) < 1.08
+    many = [min(8192, int(rng.lognormvariate(5.5, 1))) for _ in range(4_000)]
+    def total(caps):
+        fill = defaultdict(int)
+        for (b, _), n in zip(packing.pack_lengths(many, caps), many):
+            fill[b] += n
+        return cost(fill.values()), {min(c for c in packing.CAPACITIES if c >= x) for x in fill.values()}
+    joint, single = total(packing.CAPACITIES), total((8192,))
+    assert joint[0] < 0.85 * single[0] and len(joint[1]) >= 4
+
+
+def test_op1_sequences(spark):
+    rng = random.Random(6)
+    docs = [(i, [rng.randrange(50_000) for _ in range(n)]) for i, n in enumerate([0, 1, 700, 700, 9_000, 20_000, 300, 5])]
+    d = spark.createDataFrame(docs, "doc_id long, ids array<int>")
+    packed = packing.best_fit_pack(d, F.size("ids"))
+    back = defaultdict(dict)
+    for r in packing.fill_bins(packed, d).collect():
+        assert len(r["ids"]) <= r["bin_capacity"] == min(c for c in packing.CAPACITIES if c >= len(r["ids"]))
+        for s in r["segments"]:
+            back[s["id"]][s["piece"]] = r["ids"][s["offset"] : s["offset"] + s["length"]]
+    assert {i: [x for k in sorted(p) for x in p[k]] for i, p in back.items()} == {i: t for i, t in docs if t}
+    odd = spark.createDataFrame([(None, None), (1, 3), (1, 3), (None, -4)], "doc_id long, n long")
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in packing.best_fit_pack(odd, F.col("n")).collect()) == [(-1, 0), (-1, 0), (1, 3), (1, 3)]
+    query = QUERIES["op1_best_fit_packing"](spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n"))
+    assert {r["doc_id"]: r["n"] for r in query.collect()} == {i: len([w for w in re.split("[\x20\x09-\x0d]+", t) if w]) for i, t in texts(spark).items()}
+
+
 def test_op1(spark):
     lengths = [random.Random(4).randint(0, 20_000) for _ in range(500)]
     d = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
