@@ -4,10 +4,11 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, chat, embeddings, fingerprints, lines, minhash, packing, pii, quality, urls
@@ -69,20 +70,43 @@ def test_op4_edges(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def lines_brute(docs, percent=80):
+    """Texts without later lines that an earlier one is similar to."""
+    flat = [(i, k, frozenset(x for x in re.split("[\x20\x09-\x0d]+", line) if x)) for i in sorted(docs) if docs[i] is not None for k, line in enumerate(docs[i].split("\n"))]
+    want, by = defaultdict(list), defaultdict(list)
+    for at, (i, k, s) in enumerate(flat):
+        near = {j for w in s for j in by[w]}
+        if not s or not any(100 * len(s & flat[j][2]) >= percent * len(s | flat[j][2]) for j in near):
+            want[i].append(docs[i].split("\n")[k])
+        for w in s:
+            by[w].append(at)
+    return {i: None if docs[i] is None else "\n".join(want[i]) for i in docs}
+
+
 def test_op6(spark):
     rng = random.Random(2)
     rows = [None, "", "\n\n", "a b c\nc b a\nd"] + ["\n".join(" ".join(f"t{rng.randrange(30)}" for _ in range(rng.randint(1, 14))) for _ in range(6)) for _ in range(120)]
     rows += ["x1 x2 x3 x4 x5 x6 x7 x8 x9 x10\nx1 x2 x3 x4 x5 x6 x7 x8 x9 q"] * 9
     docs = dict(enumerate(rows)) | {i + 1000: t for i, t in texts(spark).items() if i < 60}
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    flat = [(i, k, frozenset(x for x in re.split("[\x20\x09-\x0d]+", line) if x)) for i in sorted(docs) if docs[i] is not None for k, line in enumerate(docs[i].split("\n"))]
-    want = defaultdict(list)
-    for at, (i, k, s) in enumerate(flat):
-        if not s or not any(o and 100 * len(s & o) >= 80 * len(s | o) for _, _, o in flat[:at]):
-            want[i].append(docs[i].split("\n")[k])
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(d).collect()}
-    assert got == {i: None if docs[i] is None else "\n".join(want[i]) for i in docs}
+    assert got == lines_brute(docs)
     assert lines.dedup_lines(d.limit(0)).count() == 0
+    # A group of many lines around one, some of them unlike each other, and the query itself.
+    base = [f"w{i}" for i in range(30)]
+    group = []
+    for _ in range(300):
+        x = list(base)
+        for _ in range(rng.randint(0, 5)):
+            x[rng.randrange(30)] = f"z{rng.randrange(40)}"
+        group.append(" ".join(x))
+    many = {i: "\n".join(group[i * 10 : i * 10 + 10]) for i in range(30)}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(list(many.items()), "doc_id long, text string")).collect()}
+    assert got == lines_brute(many)
+    whole = lines_brute(texts(spark))
+    got = {r["doc_id"]: r for r in QUERIES["op6_line_dedup"](spark, SF).collect()}
+    assert {i: r["text_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in whole.items()}
+    assert all(r["n_removed"] == texts(spark)[i].count("\n") - whole[i].count("\n") for i, r in list(got.items())[:5] if whole[i])
 
 
 def test_op7(spark):
@@ -159,6 +183,57 @@ def test_op9(spark):
     assert got[10_000] == "<EMAIL><EMAIL> 😀 <EMAIL>" and got[10_007] is None
 
 
+WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*")
+HELD = regex.compile(r"(?<![\p{L}\p{M}\p{N}\uffff])[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+(?!\uffff)")
+
+
+def issuer(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    return {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:3]), "card": digits[:6], "phone": digits[:4]}.get(kind)
+
+
+def pii_brute(docs):
+    """All spans of each text, by counting every pair of entity and word."""
+    spans = {}
+    for t in set(docs.values()):
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans_brute(t))]
+        for m in re.finditer(r"(?<![A-Za-z0-9+=])[A-Za-z0-9+=]{24,}", t):
+            run = m.group()
+            if re.search("[A-Za-z]", run) and len(re.sub("[^0-9]", "", run)) >= 4 and len(set(run[:200])) >= 10 and not any(a < m.end() and b > m.start() for _, a, b in base):
+                base.append(("secret", m.start(), m.end()))
+        spans[t] = base
+    n = len(spans)
+    support = max(3, math.ceil(math.log2(n) / 2))
+    n_t, n_e, n_et = Counter(), Counter(), Counter()
+    for t, found in spans.items():
+        n_t.update(set(WORD.findall(t.lower())))
+        ents, out, at = set(), "", 0
+        for k, a, b in found:
+            value = t[a:b].lower()
+            ents |= {k, f"{k}={value}"} | ({f"{k}:{issuer(k, value)}"} if issuer(k, value) else set())
+        for _, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
+            if a >= at:
+                out += t[at:a] + "\uffff"
+            at = max(at, b)
+        words = set(HELD.findall((out + t[at:]).lower())) if found else set()
+        n_e.update(ents)
+        n_et.update((e, w) for e in ents for w in words)
+    terms = {w for (e, w), k in n_et.items() if k >= support and n_e[e] < n and math.log2(n * k / (n_e[e] * n_t[w])) >= 0.9 * math.log2(n / n_e[e])}
+    more = {t: [("term", m.start(), m.end()) for m in WORD.finditer(t) if m.group().lower() in terms and not any(a < m.end() and b > m.start() for _, a, b in found)] for t, found in spans.items()}
+    return {i: spans[t] + more[t] for i, t in docs.items()}, terms
+
+
+def test_op9_against_counts(spark):
+    rng = random.Random(9)
+    docs = texts(spark) | {1000 + i: f"{'Kontakt' if i % 9 else 'kontakt ruf'} {rng.choice(['anna', 'bert', 'cleo'])} at p{i}@{'one' if i % 2 else 'two'}.example.com or +49 30 {1000000 + i} {'one' if i % 2 else 'of'}" for i in range(40)}
+    docs |= {2000 + i: f"of one and {rng.choice(['anna', 'dora', 'emil'])} plain {i}" for i in range(60)} | {3000: docs[1000], 3001: docs[1000]}
+    want, terms = pii_brute(docs)
+    assert {"kontakt", "example"} & terms == {"kontakt"}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_pii(d).collect()}
+    assert got == want
+
+
 def test_op9_terms(spark):
     # 49 texts; the entity is in 8. zorbulator: 8 of its 9 texts, PMI / IC = 0.93; grumbly: 4 of 5, 0.88, under the threshold.
     rows = [f"my nickname zorbulator {'grumbly' if i % 2 else 'and'} is at jo@ex.com number {i}" for i in range(8)] + [f"my number {i} and more words here is plain at noon" for i in range(39)]

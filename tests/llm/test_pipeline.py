@@ -3,6 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline as cp
+from evidentia.llm import packing
+from evidentia.llm.queries import QUERIES
+from tests.llm.test_brute import lines_brute, near_brute, pii_brute, texts
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,3 +38,29 @@ def test_lines_null_and_repeated_ids(spark, tmp_path):
     rows = [(1, TEXT), (1, TEXT), (None, TEXT), (None, None), (2, "short")]
     got = rows_of(cp.drop_lines(spark, parquet(spark, tmp_path, rows), SF))
     assert got == Counter({(1, TEXT): 1, (1, ""): 1, (None, ""): 1, (None, None): 1, (2, "short"): 1})
+
+
+def test_run_against_brute_force(spark):
+    docs = texts(spark)
+    good = {r["doc_id"] for r in QUERIES["op10_quality_classifier"](spark, SF).where("predicted = 1").collect()}
+    docs = lines_brute({i: t for i, t in docs.items() if i in good})
+    kept = {i for i, _, _, k in near_brute(docs, 80) if k}
+    docs = {i: t for i, t in docs.items() if i in kept}
+    tags = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>", "term": "<TERM>"}
+    want = {}
+    for i, spans in pii_brute(docs)[0].items():
+        out, at = "", 0
+        for k, a, b in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
+            if a >= at:
+                out += docs[i][at:a] + tags[k]
+            at = max(at, b)
+        want[i] = len([w for w in (out + docs[i][at:]).replace("\n", " ").split(" ") if w])
+    rows = cp.run(spark, SF).collect()
+    got = Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["length"]
+    assert {i: got[i] for i in {r["doc_id"] for r in rows}} == want
+    fill = Counter()
+    for r in rows:
+        fill[r["bin_id"]] += r["length"]
+    assert all(r["bin_capacity"] == min(c for c in packing.CAPACITIES if c >= fill[r["bin_id"]]) for r in rows)
