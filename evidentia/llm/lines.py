@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, fresh, keyed, small, table, words_of
+from .common import FEW, cut, cut_table, fresh, keyed, small, table, words_of
 
 #: Token frequencies are kept by hash slot, a byte each, so the table has a fixed length whatever the vocabulary.
 SLOTS = 131_072
@@ -83,11 +83,21 @@ def _near(percent: int) -> str:
 TOKEN = "shiftrightunsigned({}.c, 32)"
 
 
+def _wide(o: str) -> str:
+    """Four longs of parity sketch over a set, for pairs: long sets that share a word differ in many of these bits, too."""
+    bits = [f"aggregate({o}, 0L, (a, w) -> if(w & 192 = {b << 6}, a ^ shiftleft(1L, cast(w & 63 as int)), a))" for b in range(4)]
+    return f"array({', '.join(bits)})"
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Keys of late of the pairs (early, late) whose whole sets are similar; only sets of texts in pairs are moved."""
-    pairs = cut(pairs)
-    sets = sets.join(small(cut(pairs.select(F.col("early").alias("key")).union(pairs.select("late")).distinct())), "key", "left_semi")
-    both = pairs.join(sets.select(F.col("key").alias("early"), F.col("o").alias("p")), "early").join(sets.select(F.col("key").alias("late"), F.col("o").alias("q")), "late")
+    """Keys of late of the pairs (early, late) whose whole sets are similar; sets(key, n, wide, o) are moved only for pairs that sizes and wide sketches allow."""
+    facts = sets.select("key", F.struct("n", "wide").alias("f"))
+    x, y = facts.toDF("early", "x"), facts.toDF("late", "y")
+    flips = "aggregate(zip_with(x.wide, y.wide, (i, j) -> bit_count(i ^ j)), 0, (t, z) -> t + z)"
+    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {flips} * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+    pairs = cut(pairs.join(x, "early").join(y, "late").where(near).select("early", "late"))
+    few = sets.select("key", "o").join(small(cut(pairs.select(F.col("early").alias("key")).union(pairs.select("late")).distinct())), "key", "left_semi")
+    both = pairs.join(few.toDF("early", "p"), "early").join(few.toDF("late", "q"), "late")
     shared = F.size(F.array_intersect("p", "q"))
     return both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select(F.col("late").alias("key")).distinct()
 
@@ -105,8 +115,9 @@ def _later(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     met = cut_table(met)
     firsts = cut(classes.join(small(cut(met.select("key").distinct())), "key", "left_semi").select("key", "first"))
     # Their sets, one row for each text.
-    sets = cut_table(lines.join(small(firsts.withColumnRenamed("first", "pos")), ["key", "pos"], "left_semi").select("key", _sets(rank).alias("o")))
-    met = cut_table(met.join(firsts, "key").withColumn("w", F.expr("shiftrightunsigned(c, 32)")))
+    sets = lines.join(small(firsts.withColumnRenamed("first", "pos")), ["key", "pos"], "left_semi").select("key", F.explode(F.array(_sets(rank))).alias("o"))
+    sets = cut_table(sets.select("key", F.size("o").alias("n"), F.expr(_wide("o")).alias("wide"), "o"))
+    met = cut_table(met.join(small(firsts), "key").withColumn("w", F.expr("shiftrightunsigned(c, 32)")))
     # Then each line against the first line at its tokens, and what that leaves against the second: groups of copies of one line end here.
     settled, heads, rest = [], None, met
     for _ in range(ROUNDS):
@@ -147,7 +158,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs, key, _ = keyed(docs, id_col)
     gone, out_id = fresh(docs, "_gone"), fresh(docs, "_id")
     d = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
-    lost = similar_lines(d, percent).groupBy("id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("id", out_id)
+    lost = cut(similar_lines(d, percent).groupBy("id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("id", out_id))
+    # Lists of few lines go to the texts; beyond that texts and lists are exchanged.
+    rows, held = lost.agg(F.count("*"), F.sum(F.size(gone))).first()
+    lost = F.broadcast(lost) if rows <= FEW and (held or 0) <= 4 * FEW else lost
     out = docs.join(lost, F.col(key) == F.col(out_id), "left").drop(out_id, key)
     lines = F.split(text_col, "\n")
     # Lines that stay are those not in the set: one pass over a sequence.
