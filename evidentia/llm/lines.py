@@ -89,14 +89,16 @@ def _wide(o: str) -> str:
     return f"array({', '.join(bits)})"
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Keys of late of the pairs (early, late) whose whole sets are similar; sets(key, n, wide, o) are moved only for pairs that sizes and wide sketches allow."""
-    facts = sets.select("key", F.struct("n", "wide").alias("f"))
-    x, y = facts.toDF("early", "x"), facts.toDF("late", "y")
+def _near_wide(percent: int) -> str:
+    """As _near, for rows that carry true sizes and wide sketches as well."""
     flips = "aggregate(zip_with(x.wide, y.wide, (i, j) -> bit_count(i ^ j)), 0, (t, z) -> t + z)"
-    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {flips} * {100 + percent} <= (x.n + y.n) * {100 - percent}"
-    pairs = cut(pairs.join(x, "early").join(y, "late").where(near).select("early", "late"))
-    few = sets.select("key", "o").join(small(cut(pairs.select(F.col("early").alias("key")).union(pairs.select("late")).distinct())), "key", "left_semi")
+    return f"if({_near(percent)}, {flips} * {100 + percent} <= (x.n + y.n) * {100 - percent}, false)"
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Keys of late of the pairs (early, late) whose whole sets are similar; only sets of texts in pairs are moved."""
+    pairs = cut(pairs)
+    few = sets.join(small(cut(pairs.select(F.col("early").alias("key")).union(pairs.select("late")).distinct())), "key", "left_semi")
     both = pairs.join(few.toDF("early", "p"), "early").join(few.toDF("late", "q"), "late")
     shared = F.size(F.array_intersect("p", "q"))
     return both.where(100 * shared >= percent * (F.size("p") + F.size("q") - shared)).select(F.col("late").alias("key")).distinct()
@@ -117,19 +119,24 @@ def _later(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # Their sets, one row for each text.
     sets = lines.join(small(firsts.withColumnRenamed("first", "pos")), ["key", "pos"], "left_semi").select("key", F.explode(F.array(_sets(rank))).alias("o"))
     sets = cut_table(sets.select("key", F.size("o").alias("n"), F.expr(_wide("o")).alias("wide"), "o"))
-    met = cut_table(met.join(small(firsts), "key").withColumn("w", F.expr("shiftrightunsigned(c, 32)")))
+    # Long sets often pass the short sketch by chance; with the wide one, entries meet once more, and only near ones stay.
+    facts = cut(firsts.join(sets.select("key", "n", "wide"), "key"))
+    met = cut_table(met.join(facts, "key").withColumn("w", F.expr("shiftrightunsigned(c, 32)")))
+    x, y = met.alias("x"), met.alias("y")
+    met = cut_table(x.join(y, F.expr(f"x.w = y.w and x.key <> y.key and {_near_wide(percent)}"), "left_semi"))
+    sets = sets.select("key", "o")
     # Then each line against the first line at its tokens, and what that leaves against the second: groups of copies of one line end here.
     settled, heads, rest = [], None, met
     for _ in range(ROUNDS):
         lead = rest if heads is None else rest.join(heads.select("w", F.col("h.first").alias("was")), "w").where("first > was")
-        heads = cut_table(lead.groupBy("w").agg(F.min(F.struct("first", "key", "c", "s")).alias("h")))
+        heads = cut_table(lead.groupBy("w").agg(F.min(F.struct("first", "key", "c", "s", "n", "wide")).alias("h")))
         x, y = heads.select("w", "h.*").alias("x"), rest.alias("y")
-        pairs = x.join(y, F.expr(f"x.w = y.w and x.first < y.first and {_near(percent)}")).select(F.col("x.key").alias("early"), F.col("y.key").alias("late")).distinct()
+        pairs = x.join(y, F.expr(f"x.w = y.w and x.first < y.first and {_near_wide(percent)}")).select(F.col("x.key").alias("early"), F.col("y.key").alias("late")).distinct()
         settled.append(cut(_similar(pairs, sets, percent)))
         rest = rest.join(small(settled[-1]), "key", "left_anti")
     # Last, what no such line settled against every earlier one.
     x, y = met.alias("x"), cut_table(rest).alias("y")
-    pairs = x.join(y, F.expr(f"x.w = y.w and x.first < y.first and {_near(percent)}")).select(F.col("x.key").alias("early"), F.col("y.key").alias("late")).distinct()
+    pairs = x.join(y, F.expr(f"x.w = y.w and x.first < y.first and {_near_wide(percent)}")).select(F.col("x.key").alias("early"), F.col("y.key").alias("late")).distinct()
     return reduce(DataFrame.union, [*settled, _similar(pairs, sets, percent)])
 
 
