@@ -15,6 +15,8 @@ from ..operators.cuts import cut, cut_table  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]+"
 #: Sides of joins up to so many rows of a few longs may be broadcast, after they are counted.
 FEW = 500_000
+#: A key of more rows than this may be hot; fewer than HOT_KEYS keys are, see lookup().
+HOT, HOT_KEYS = 10_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,20 @@ def small(df: DataFrame, rows: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lookup(rows: DataFrame, values: DataFrame, on: str, n: str) -> DataFrame:
+    """rows left-joined with values, which has one row for each of its keys `on` (null is a key) and, as n, how many of rows have it.
+
+    Keys of many rows are broadcast, so their rows stay where they are; the others are joined by exchange. Many is over
+    HOT rows and over a HOT_KEYS-th of all, so fewer than HOT_KEYS keys are broadcast whatever the size. Both sides should be cut.
+    """
+    many = max(HOT, rows.count() // HOT_KEYS)
+    v = values.withColumnRenamed(on, "_on")
+    same = F.col(on).eqNullSafe(F.col("_on"))
+    hot = F.broadcast(v.where(F.col(n) > many))
+    cold = rows.join(hot.select("_on"), same, "left_anti").join(v.where(F.col(n) <= many), same, "left")
+    return rows.join(hot, same).unionByName(cold).drop("_on", n)
+
+
 def words_of(t: Column | str) -> Column:
     """Words between ASCII white space; empty ones may stand among them. A blank is split on faster than a pattern."""
     t = F.col(t) if isinstance(t, str) else t
