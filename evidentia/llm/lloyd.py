@@ -132,13 +132,14 @@ def _blocks(parts: int):
     return run
 
 
-def _trees(row, parts: int):
+def _trees(row, books: np.ndarray):
     """Of each part of a block: points in the tree's order, their places in the block, low, high and sums."""
+    parts, _, width = books.shape
     n = len(row.ids)
     nodes = (2 << depth_of(n)) - 1
-    read = lambda b, kind, k: np.frombuffer(b, kind).reshape(parts, k, -1)
-    all_ = read(row.points, np.int32, n), read(row.places, np.int32, n)[:, :, 0], read(row.low, np.int32, nodes), read(row.high, np.int32, nodes), read(row.sums, np.int64, nodes)
-    yield from zip(*all_)
+    read = lambda b, kind, k: np.frombuffer(b, kind).reshape(parts, k, width)
+    places = np.frombuffer(row.places, np.int32).reshape(parts, n)
+    yield from zip(read(row.points, np.int32, n), places, read(row.low, np.int32, nodes), read(row.high, np.int32, nodes), read(row.sums, np.int64, nodes))
 
 
 def _sums(books: np.ndarray):
@@ -146,7 +147,7 @@ def _sums(books: np.ndarray):
         total, count = np.zeros(books.shape, np.int64), np.zeros(books.shape[:2], np.int64)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                for part, (points, _, low, high, sums) in enumerate(_trees(row, len(books))):
+                for part, (points, _, low, high, sums) in enumerate(_trees(row, books)):
                     _, t, c = assign(points, low, high, sums, books[part])
                     total[part] += t
                     count[part] += c
@@ -162,7 +163,7 @@ def _codes(books: np.ndarray):
             for row in pdf.itertuples(index=False):
                 n = len(row.ids)
                 code, error = np.zeros((n, len(books)), np.int64), np.zeros(n, np.int64)
-                for part, (points, places, low, high, sums) in enumerate(_trees(row, len(books))):
+                for part, (points, places, low, high, sums) in enumerate(_trees(row, books)):
                     nearest, _, _ = assign(points, low, high, sums, books[part])
                     code[places, part] = nearest
                     away = points.astype(np.int64) - books[part][nearest]
@@ -197,7 +198,8 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     if width % parts:
         raise ValueError(f"vectors of {width} components have no {parts} equal parts")
     fits = kept.where(F.size("v") == width)
-    start = np.array([r["v"] for r in fits.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).collect()], np.int64).reshape(-1, width)
+    least = [r["v"] for r in fits.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).collect()]
+    start = np.array(least, np.int64).reshape(len(least), width)
     books = np.stack(np.split(start, parts, axis=1))
     if start.size and np.abs(start).max() >= MOST:
         raise ValueError(f"components of {MOST // SCALE} or more have no exact error in 64 bits")
