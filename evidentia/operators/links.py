@@ -2,64 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cuts import cut
-
-SCHEMA = "query_id long, rank long, id long, similarity double"
-
-
-def usable(rows: DataFrame) -> DataFrame:
-    """rows(id, v array<double>) whose vector has a direction: not null, no null or non-finite component, not all zero."""
-    ok = F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.coalesce(ok, F.lit(False)))
-
-
-def _best_of(ids: np.ndarray, vectors: np.ndarray, k: int):
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-
-    def run(batches):
-        best = pd.DataFrame({"query_id": [], "id": [], "similarity": []}).astype({"query_id": "int64", "id": "int64"})
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.array([np.asarray(x, float) for x in pdf["v"]])
-            rows = pdf["id"].to_numpy()
-            sim = np.round(unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-            sim[ids[:, None] == rows[None, :]] = -np.inf
-            # Rows by id first, so a stable sort settles ties by id.
-            by_id = np.argsort(rows, kind="stable")
-            top = by_id[np.argsort(-sim[:, by_id], axis=1, kind="stable")[:, :k]]
-            new = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": rows[top].ravel(), "similarity": np.take_along_axis(sim, top, 1).ravel()})
-            both = pd.concat([best, new[np.isfinite(new["similarity"])]]).sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
-            best = both.groupby("query_id").head(k)
-        yield best
-
-    return run
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 1_000) -> DataFrame:
-    """(query_id, rank, id, similarity): the k rows(id, v) nearest by cosine to each of queries(id), which are rows too; ties by id.
-
-    Exact. Queries run in blocks of a fixed size, so a task holds a block and its k best rows of each batch; all rows stream past.
-    """
-    rows = cut(usable(rows))
-    q = cut(queries.select("id").distinct().join(rows, "id"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    out, last = [], None
-    while True:
-        got = (q if last is None else q.where(F.col("id") > last)).orderBy("id").limit(block).collect()
-        if not got:
-            break
-        last = got[-1]["id"]
-        found = cut(rows.mapInPandas(_best_of(np.array([r["id"] for r in got]), np.array([r["v"] for r in got], float), k), "query_id long, id long, similarity double"))
-        out.append(found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity"))
-    return reduce(DataFrame.unionByName, out) if out else rows.sparkSession.createDataFrame([], SCHEMA)
+from .nearest import top_k
 
 
 def links(rows: DataFrame, queries: DataFrame, k: int, min_similarity: float, selection: str) -> DataFrame:

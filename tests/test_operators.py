@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import paths, text
-from evidentia.operators import change, contracts, flow, graph, links, measure, policy, source
+from evidentia.operators import change, contracts, flow, graph, links, nearest, measure, policy, source
 from evidentia.streaming import projections
 
 EDGE = "src string, dst string, kind string"
@@ -169,9 +169,9 @@ def test_source(spark):
 
 def test_links_of_bad_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0])], "id long, v array<double>")
-    assert [(r["query_id"], r["id"]) for r in links.top_k(v, v.select("id"), 1).orderBy("query_id").collect()] == [(0, 1), (1, 0), (5, 1)]
+    assert [(r["query_id"], r["id"]) for r in nearest.top_k(v, v.select("id"), 1).orderBy("query_id").collect()] == [(0, 1), (1, 0), (5, 1)]
     assert rows(links.links(v, v.select("id"), 1, 0.5, "mutual").select("a", "b")) == [(0, 1), (1, 0)]
-    assert links.top_k(v.limit(0), v.select("id"), 1).count() == 0
+    assert nearest.top_k(v.limit(0), v.select("id"), 1).count() == 0
 
 
 def test_stream(spark, tmp_path):
