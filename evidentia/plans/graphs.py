@@ -87,6 +87,13 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weight.withColumn("r", rank).where("r <= 2").select("src", "dst", F.lit("trades").alias("kind"), "weight")
 
 
+def swap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least part of an order -> its greatest one in orders of even number, the other way in odd ones, for two orders of eleven: a graph with cycles."""
+    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 11 < 2").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a < b")
+    even = F.col("l_orderkey") % 2 == 0
+    return l.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("dst")).distinct()
+
+
 #: The same graphs in SQL.
 NODES_SQL = """fk_nodes AS (
   SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS label, r_name AS path FROM region
@@ -106,3 +113,5 @@ EDGES_SQL = """fk_edges AS (
 TRADE_SQL = """trade AS (SELECT src, dst, 'trades' AS kind FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM (
   SELECT nc.n_name AS src, ns.n_name AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation nc ON c_nationkey = nc.n_nationkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey WHERE nc.n_name <> ns.n_name GROUP BY 1, 2)) WHERE r <= 2)"""
+SWAP_SQL = """swaps AS MATERIALIZED (SELECT DISTINCT CASE WHEN l_orderkey % 2 = 0 THEN a ELSE b END AS src, CASE WHEN l_orderkey % 2 = 0 THEN b ELSE a END AS dst FROM
+  (SELECT l_orderkey, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem WHERE l_orderkey % 11 < 2 GROUP BY 1) WHERE a < b)"""
