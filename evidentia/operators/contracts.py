@@ -30,14 +30,16 @@ def kind_mismatches(observations: DataFrame) -> DataFrame:
     return j.select(code.alias("code"), F.col("p.resource").alias("resource"), F.concat_ws(":", "p.family", "p.entity").alias("producer"), F.concat_ws(":", "c.family", "c.entity").alias("consumer")).where("code is not null")
 
 
+def quoted(text: Column) -> Column:
+    """text as a pattern for itself."""
+    return F.regexp_replace(text, r"([^A-Za-z0-9_/ -])", r"\\$1")
+
+
 def routes(key: Column, binding: Column) -> Column:
-    """Whether a routing key fits a topic binding: words between dots, * is one word, # all that follow; null fits nothing."""
-    k, b = F.split(key, r"\."), F.split(binding, r"\.")
-    rest = F.array_position(b, "#")
-    fixed = F.when(rest > 0, rest - 1).otherwise(F.size(b)).cast("int")
-    length = F.when(rest > 0, (F.size(k) > fixed) | ((F.size(k) == fixed) & (F.size(b) == fixed + 1))).otherwise(F.size(k) == F.size(b))
-    words = F.forall(F.zip_with(F.slice(k, 1, fixed), F.slice(b, 1, fixed), lambda x, y: (y == "*") | x.eqNullSafe(y)), lambda ok: ok)
-    return F.coalesce((key == binding) | (length & F.when(fixed > 0, words).otherwise(True)), F.lit(False))
+    """Whether a routing key fits a topic binding: words between dots, * is one word, # any number of them, none included; null fits nothing."""
+    word = lambda w: F.when(w == "#", F.lit("([.][^.]*)*")).when(w == "*", F.lit("[.][^.]*")).otherwise(F.concat(F.lit("[.]"), quoted(w)))
+    pattern = F.concat(F.lit("^"), F.array_join(F.transform(F.split(binding, "[.]"), word), ""), F.lit("$"))
+    return F.coalesce(F.rlike(F.concat(F.lit("."), key), pattern), F.lit(False))
 
 
 def routed(producers: DataFrame, bindings: DataFrame, consumers: DataFrame) -> DataFrame:
@@ -62,22 +64,39 @@ def typed_matches(providers: DataFrame, clients: DataFrame) -> DataFrame:
     return j.select("client", "identity", "mode", state.alias("state"), expected.alias("expected"))
 
 
+def _segments(path: Column) -> Column:
+    """A path's segments; one slash at its end adds none."""
+    return F.split(F.regexp_replace(path, "(.)/$", "$1"), "/")
+
+
+def _free(segment: Column) -> Column:
+    return F.contains(segment, F.lit("*")) | F.contains(segment, F.lit("{")) | F.contains(segment, F.lit(":"))
+
+
 def route_templates(routes_: DataFrame) -> DataFrame:
-    """routes(route, method) plus its fixed prefix: what stands before the first {parameter} or :parameter."""
-    return routes_.withColumn("prefix", F.regexp_extract("route", r"^([^{:*]*)", 1)).withColumn("pattern", F.concat(F.lit("^"), F.regexp_replace("route", r"(\{[^}/]*\}|:[^/]+)", "[^/]+"), F.lit("/?$")))
+    """routes(route, method) plus prefix, what stands before the first parameter, and patterns: of each segment the pattern it is matched by.
+
+    {name} and :name stand for what is left of a segment or for a part of it, * for any of its characters; all else stands for itself.
+    """
+    marked = lambda x: F.regexp_replace(x, r"(\{[^}]*\}|:[A-Za-z0-9_]+|[*])", "\0")
+    pattern = lambda x: F.concat(F.lit("^"), F.array_join(F.transform(F.split(marked(x), "\0", -1), quoted), "[^/]+"), F.lit("$"))
+    return routes_.withColumn("prefix", F.regexp_extract("route", r"^([^{:*]*)", 1)).withColumn("patterns", F.transform(_segments(F.col("route")), pattern))
 
 
 def http_matches(endpoints: DataFrame, calls: DataFrame, few: int = 10_000) -> DataFrame:
     """(call, path, method, route, state) of calls(call, path, method): matched, METHOD_MISMATCH, or MISSING_ENDPOINT with a null route.
 
-    A route takes part if it has the call's number of segments and its first fixed one; the pattern then decides. The longest fixed
-    prefix wins, then the greatest route. endpoints(route, method) are written by people; few are broadcast after a count.
+    Routes and paths meet by number of segments and first segment, as it is or free, and are compared segment by segment. The longest
+    fixed prefix wins, then the greatest route. endpoints(route, method) are written by people; few are broadcast after a count.
     """
-    segments = lambda p: F.size(F.split(F.regexp_replace(p, "(.)/$", "$1"), "/"))
-    r = cut(route_templates(endpoints.distinct()).withColumn("n", segments("route")))
+    # A path that begins with a slash has an empty segment before its first one.
+    lead = lambda s: F.coalesce(F.get(s, F.when(F.get(s, F.lit(0)) == "", 1).otherwise(0)), F.lit(""))
+    s = _segments(F.col("route"))
+    r = cut(route_templates(endpoints.distinct()).withColumn("n", F.size(s)).withColumn("lead", F.when(_free(lead(s)), "*").otherwise(lead(s))))
     r = F.broadcast(r) if r.limit(few + 1).count() <= few else r
-    c = calls.withColumn("n", segments("path"))
-    hit = c.join(r.withColumnRenamed("method", "offered"), "n").where(F.startswith("path", "prefix") & F.expr("path rlike pattern"))
+    c = calls.withColumn("segments", _segments(F.col("path"))).withColumn("n", F.size("segments")).withColumn("lead", F.explode(F.array_distinct(F.array(lead(F.col("segments")), F.lit("*")))))
+    fits = F.forall(F.zip_with("segments", "patterns", lambda x, p: F.rlike(x, p)), lambda ok: ok)
+    hit = c.join(r.withColumnRenamed("method", "offered"), ["n", "lead"]).where(fits)
     best = hit.groupBy("call", "path", "method").agg(F.max_by(F.struct("route"), F.struct(F.col("offered") == F.col("method"), F.length("prefix"), "route")).alias("b"), F.max(F.col("offered") == F.col("method")).alias("same"))
     state = F.when(F.col("b").isNull(), "MISSING_ENDPOINT").when(F.col("same"), "matched").otherwise("METHOD_MISMATCH")
     return calls.join(best, ["call", "path", "method"], "left").select("call", "path", "method", F.col("b.route").alias("route"), state.alias("state"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cuts import cut
+from .cuts import cut, cut_table
 
 
 def census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def neighbours(edges: DataFrame, node: str, relations: tuple[str, ...] = (), off
     return page.join(F.broadcast(total))  # one row
 
 
-def khop(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, blocked: tuple[str, ...] = (), until: str | None = None) -> DataFrame:
-    """(id, distance) of all nodes within depth steps of seeds(id); nodes of blocked kinds are reached but not passed.
+def khop(edges: DataFrame, seeds: DataFrame, depth: int | None, reverse: bool = False, blocked: tuple[str, ...] = (), until: str | None = None) -> DataFrame:
+    """(id, distance) of all nodes within depth steps of seeds(id), of all that are reached if depth is null; nodes of blocked kinds are reached but not passed.
 
     With until, no step is made beyond the one that reaches that node.
     """
@@ -47,10 +47,12 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False,
     # Cut once: each step then reads the edge list, and exchanges only the frontier where that is small.
     step = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("to")).distinct())
     seen = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0).cast("long")))
-    front = seen
-    for k in range(1, depth + 1):
+    front, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
         going = front.where(~F.split("id", ":")[0].isin(*blocked)) if blocked else front
-        front = cut(going.join(step, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(k).cast("long")))
+        # A table now and then, as what Spark believes of a join's size grows with each step.
+        front = (cut_table if k % 8 == 0 else cut)(going.join(step, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(k).cast("long")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -85,10 +87,10 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 
 def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(src, dst, kind, change): edges added or removed, or whose evidence changed."""
-    x, y = before.withColumnRenamed("evidence", "e0"), after.withColumnRenamed("evidence", "e1")
-    d = x.join(y, ["src", "dst", "kind"], "full_outer")
-    change = F.when(F.col("e0").isNull(), "added").when(F.col("e1").isNull(), "removed").when(F.col("e0") != F.col("e1"), "changed")
+    """(src, dst, kind, change): edges added or removed, or whose evidence changed; null evidence is equal to itself alone."""
+    side = lambda d, k: d.select("src", "dst", "kind", F.col("evidence").alias(f"e{k}"), F.lit(True).alias(f"in{k}"))
+    d = side(before, 0).join(side(after, 1), ["src", "dst", "kind"], "full_outer")
+    change = F.when(F.col("in0").isNull(), "added").when(F.col("in1").isNull(), "removed").when(~F.col("e0").eqNullSafe(F.col("e1")), "changed")
     return d.select("src", "dst", "kind", change.alias("change")).where("change is not null")
 
 

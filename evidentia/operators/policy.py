@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cuts import cut
+from .cuts import cut, cut_table
 
 #: Most rows of rules or prefixes that are broadcast; more are joined by exchange.
 FEW = 100_000
@@ -56,16 +56,21 @@ def direct_violations(joined: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.select(fingerprint("rule", "src", "dst", "kind").alias("fingerprint"), "rule", "severity", "src", "dst", "kind", "from_component", "to_component").dropDuplicates(["fingerprint"])
 
 
-def hops_to(edges: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
-    """(rule, id, hops): for each rule's targets(rule, id) all nodes with a path to one, one hop at least. edges(rule, src, dst)."""
+def hops_to(edges: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(rule, id, hops): for each rule's targets(rule, id) all nodes with a path to one, one hop at least. edges(rule, src, dst).
+
+    Goes on until nothing new is reached; with max_hops, longer paths are not looked for.
+    """
     e = cut(edges.select("rule", "src", "dst").distinct())
     front = cut(targets.select("rule", "id").distinct())
-    seen = None
-    for hop in range(1, max_hops + 1):
+    seen, hop = None, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = e.join(front.withColumnRenamed("id", "dst"), ["rule", "dst"]).select("rule", F.col("src").alias("id")).distinct()
         if seen is not None:
             step = step.join(seen, ["rule", "id"], "left_anti")
-        front = cut(step)
+        # A table now and then, as what Spark believes of a join's size grows with each hop.
+        front = (cut_table if hop % 8 == 0 else cut)(step)
         if front.isEmpty():
             break
         found = front.withColumn("hops", F.lit(hop).cast("long"))
@@ -73,17 +78,18 @@ def hops_to(edges: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
     return seen if seen is not None else front.withColumn("hops", F.lit(0).cast("long")).limit(0)
 
 
-def path_violations(edges: DataFrame, assigned: DataFrame, rules: DataFrame, max_hops: int = 8) -> DataFrame:
+def path_violations(edges: DataFrame, assigned: DataFrame, rules: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(fingerprint, rule, severity, source_path, hops) of require rules (no path to a target, hops null) and transitive forbid rules (a path, of least hops).
 
     All paths of a rule's sources are found at once, backwards from its targets, so the work is one expansion for each hop.
     """
     r = rules.where("action = 'require' or (action = 'forbid' and reachability = 'transitive')")
-    on = F.broadcast(r.select("rule", "kinds"))  # rules are few; each takes its own edges
-    taken = edges.select("src", "dst", "kind").join(on, selects(F.col("kinds"), F.col("kind"))).select("rule", "src", "dst")
+    # A rule takes the edges of the kinds it names; every edge is of kind any and of runtime coupling as well.
+    by_kind = _few(r.select("rule", F.explode("kinds").alias("takes")))
+    taken = edges.select("src", "dst", F.explode(F.array("kind", F.lit("any"), F.lit("runtime"))).alias("takes")).join(by_kind, "takes").select("rule", "src", "dst")
     ends = assigned.where("component is not null")
-    targets = ends.join(F.broadcast(r.select("rule", F.explode("targets").alias("component"))), "component").select("rule", "id")
-    sources = ends.join(F.broadcast(r.select("rule", "action", "reachability", "severity", F.explode("sources").alias("component"))), "component")
+    targets = ends.join(_few(r.select("rule", F.explode("targets").alias("component"))), "component").select("rule", "id")
+    sources = ends.join(_few(r.select("rule", "action", "reachability", "severity", F.explode("sources").alias("component"))), "component")
     reach = hops_to(taken, targets, max_hops)
     near = F.when(F.col("reachability") == "direct", F.when(F.col("hops") == 1, F.col("hops"))).otherwise(F.col("hops"))
     by_path = sources.join(reach, ["rule", "id"], "left").withColumn("near", near).groupBy("rule", "action", "severity", F.col("path").alias("source_path")).agg(F.min("near").alias("hops"))

@@ -87,7 +87,7 @@ v AS (SELECT DISTINCT sha256(concat_ws('|', rule, src, dst, kind)) AS fingerprin
 ORACLE_SQL = {
     "component_by_longest_prefix": f"{_ASSIGNED} SELECT id, path, component FROM a",
     "policy_direct": f"{_DIRECT} SELECT * FROM v",
-    "policy_paths": f"""{_ASSIGNED}, reach(id, hops) AS (SELECT id, CAST(0 AS BIGINT) FROM a WHERE component = 'first_brand' UNION SELECT e.src, r.hops + 1 FROM reach r JOIN fk_edges e ON e.dst = r.id WHERE r.hops < 8),
+    "policy_paths": f"""{_ASSIGNED}, reach(id, hops) AS (SELECT id, CAST(0 AS BIGINT) FROM a WHERE component = 'first_brand' UNION SELECT e.src, r.hops + 1 FROM reach r JOIN fk_edges e ON e.dst = r.id),
 near AS (SELECT id, min(hops) AS hops FROM reach WHERE hops > 0 GROUP BY id),
 need AS (SELECT DISTINCT e.src AS id FROM fk_edges e JOIN a ON e.dst = a.id WHERE a.component = 'orders'),
 f AS (SELECT 'asia_not_first_brand' AS rule, 'forbid' AS action, path AS source_path, min(hops) AS hops FROM a JOIN near USING (id) WHERE component = 'asia' GROUP BY path

@@ -182,3 +182,37 @@ def test_stream(spark, tmp_path):
     assert rows(latest) == [(0, 24), (1, 23)]
     counts = projections.run_available(spark, projections.hourly_counts(projections.event_stream(spark, f"{tmp_path}/f*"), "ts", "u", "1 hour"), "append")
     assert counts.count() >= 10 and {r["n"] for r in counts.collect()} == {1}
+
+
+def test_diff_with_null_evidence(spark):
+    cols = "src string, dst string, kind string, evidence string"
+    before = spark.createDataFrame([("a", "b", "k", None), ("a", "c", "k", "x"), ("a", "d", "k", None), ("a", "e", "k", "x")], cols)
+    after = spark.createDataFrame([("a", "b", "k", None), ("a", "c", "k", None), ("a", "d", "k", "y"), ("a", "f", "k", None)], cols)
+    assert rows(graph.diff_edges(before, after)) == [("a", "c", "k", "changed"), ("a", "d", "k", "changed"), ("a", "e", "k", "removed"), ("a", "f", "k", "added")]
+
+
+def test_routes_with_signs(spark):
+    routes = [("/a+b/c", "GET"), ("/files/*", "GET"), ("/v[1]/{id}.json", "GET"), ("/u/:id/x", "PUT"), ("/{any}/x", "GET"), ("/", "GET"), ("/x.y", "GET")]
+    calls = [(1, "/a+b/c", "GET"), (2, "/aab/c", "GET"), (3, "/files/a", "GET"), (4, "/files/a/b", "GET"), (5, "/v[1]/7.json", "GET"), (6, "/v1/7.json", "GET"), (7, "/u/9/x/", "GET"), (8, "/q/x", "GET"), (9, "/", "GET"), (10, "/xzy", "GET"), (11, "/x.y", "POST")]
+    got = contracts.http_matches(spark.createDataFrame(routes, "route string, method string"), spark.createDataFrame(calls, "call int, path string, method string"))
+    assert {r["call"]: (r["route"], r["state"]) for r in got.collect()} == {
+        1: ("/a+b/c", "matched"), 2: (None, "MISSING_ENDPOINT"), 3: ("/files/*", "matched"), 4: (None, "MISSING_ENDPOINT"), 5: ("/v[1]/{id}.json", "matched"), 6: (None, "MISSING_ENDPOINT"),
+        7: ("/u/:id/x", "METHOD_MISMATCH"), 8: ("/{any}/x", "matched"), 9: ("/", "matched"), 10: (None, "MISSING_ENDPOINT"), 11: ("/x.y", "METHOD_MISMATCH"),
+    }
+
+
+@pytest.mark.parametrize("key,binding,fits", [("a.x.y", "a.#.b", False), ("a.b", "a.#.b", True), ("a.x.y.b", "a.#.b", True), ("x.y", "#.b", False), ("x.b", "#.b", True), ("b", "#.b", True), ("a.b.c", "#.b.#", True), ("a+b", "a+b", True), ("aab", "a+b", False), ("a.", "a.*", True)])
+def test_hash_within_a_binding(spark, key, binding, fits):
+    df = spark.createDataFrame([(key, binding)], "k string, b string")
+    assert df.select(contracts.routes(F.col("k"), F.col("b"))).first()[0] is fits
+
+
+def test_no_hop_is_too_far(spark):
+    n = 30
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "k") for i in range(n)], "src string, dst string, kind string")
+    nodes = spark.createDataFrame([(f"n{i}", "function", False) for i in range(n + 1)], "id string, kind string, exported boolean")
+    assert flow.unreferenced(nodes, edges.withColumn("kind", F.lit("contains")), spark.createDataFrame([("n0",)], "id string"), ("contains",)).count() == 0
+    assigned = spark.createDataFrame([(f"n{i}", f"p{i}", "a" if i == 0 else "b" if i == n else None) for i in range(n + 1)], "id string, path string, component string")
+    r = spark.createDataFrame([("far", "forbid", "transitive", ["a"], ["b"], ["any"], "error"), ("need", "require", "transitive", ["a"], ["b"], ["k"], "error"), ("other", "require", "transitive", ["a"], ["b"], ["z"], "error")], "rule string, action string, reachability string, sources array<string>, targets array<string>, kinds array<string>, severity string")
+    found = lambda **k: {(x["rule"], x["hops"]) for x in policy.path_violations(edges, assigned, r, **k).collect()}
+    assert found() == {("far", n), ("other", None)} and found(max_hops=8) == {("need", None), ("other", None)}
