@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 from .common import cut_table, table, words_of
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-#: Pieces that are tried one by one when a bin that may be opened is filled on trial; the rest is taken from sums.
-TRIALS = 32
 
 
 def bin_cost(capacity: int, overhead: int = 16, attention: int = 16_384) -> float:
@@ -31,7 +28,6 @@ def pack_lengths(lengths: list[int], capacities=CAPACITIES, overhead: int = 16,
     caps = sorted(capacities)
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     ascending = sorted(lengths)
-    below = [0, *accumulate(ascending)]
     room: list[tuple[int, int]] = []
     used: list[int] = []
     out: list[tuple[int, int]] = [(0, 0)] * len(lengths)
@@ -39,12 +35,12 @@ def pack_lengths(lengths: list[int], capacities=CAPACITIES, overhead: int = 16,
     def filled(n: int, cap: int, top: int) -> int:
         """Tokens that a bin of cap comes to hold: n, then the longest that fits of the top shortest pieces, again and again."""
         left = cap - n
-        for _ in range(TRIALS):
+        while left:
             top = bisect_right(ascending, left, 0, top) - 1
-            if top < 0:
-                return cap - left
+            if top < 0 or not ascending[top]:
+                break
             left -= ascending[top]
-        return cap - max(0, left - below[top])
+        return cap - left
 
     for at, i in enumerate(order):
         n = lengths[i]

@@ -86,7 +86,7 @@ def base_spans(text: Column) -> Column:
         good = F.filter(_found(text, pattern, guard), lambda x: ok[kind](x["m"]))
         found.append(F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["m"].alias("value"))))
     # Beside the four kinds and outside their spans: secrets, runs with too many kinds of characters and digits to be words.
-    mixed = lambda m: (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4) & (F.size(F.array_distinct(F.split(F.substring(m, 1, 200), ""))) >= 10)
+    mixed = lambda m: (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4) & (F.size(F.array_distinct(F.split(m, ""))) >= 10)
     secret = F.transform(F.filter(_found(text, SECRET, text.rlike("[A-Za-z0-9+=]{24}")), lambda x: mixed(x["m"])), lambda x: F.struct(F.lit("secret").alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["m"].alias("value")))
     return _let(F.concat(*found), lambda base: F.concat(base, F.filter(secret, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))))
 

@@ -132,3 +132,21 @@ def test_queries_give_a_row_for_each(spark, name):
     d = "/root/testdata/sf0.001"
     source = {"op2": "pages", "op8": "embeddings"}.get(name.split("_")[0], "documents")
     assert QUERIES[name](spark, d).count() == spark.read.parquet(f"{d}/{source}.parquet").count()
+
+
+def test_secrets_are_read_whole(spark):
+    # Only the end of the run tells that it is no word.
+    run = "ab1" * 100 + "cdefghij23"
+    got = pii.find_pii(spark.createDataFrame([(1, run)], "doc_id long, text string")).first()["spans"]
+    assert [(s["kind"], s["start"], s["end"]) for s in got] == [("secret", 0, len(run))]
+
+
+def test_many_small_pieces_are_tried_one_by_one():
+    # What is left fills a bin of 512 with 2 + 170 * 3, and one of 64 with 2 + 20 * 3 only.
+    pieces = [3] * 400 + [2]
+    bins = packing.pack_lengths(pieces, (64, 512), overhead=0, attention=10**9)
+    held = {}
+    for n, (k, _) in zip(pieces, bins):
+        held.setdefault(k, []).append(n)
+    assert all(sum(v) <= 512 for v in held.values()) and sum(map(len, held.values())) == 401
+    assert packing.pack_lengths([0] * 5_000 + [1] * 5, (4, 8))[-1][0] == 0
