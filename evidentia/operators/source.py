@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import at_position  # noqa: F401
+
 #: Consecutive rows that are summed together before a budget is drawn.
 BLOCK = 64
 
@@ -51,16 +53,6 @@ def block_duplicates(docs: DataFrame, size: int = 24, least: int = 3) -> DataFra
     return g.where("n > 1").select("digest", "n", F.col("f.id").alias("first_id"), F.col("f.line").cast("long").alias("first_line"))
 
 
-def at_position(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """(file, at, name, start, end): the tightest of spans(file, name, start, end) that holds each of points(file, at); ties by name, none is left out.
-
-    start is inside, end is not, but an empty span holds its start. Spans and points meet by file.
-    """
-    j = spans.join(points.distinct(), "file").where("(start <= at and at < end) or (start = end and at = start)")
-    best = j.groupBy("file", "at").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("area"), "name", "start", "end")).alias("m"))
-    return best.select("file", "at", "m.name", "m.start", "m.end")
-
-
 def _suffixes(path: Column) -> Column:
     """The last one, two, ... segments of a path, joined; blanks, dots and drives are no segments."""
     s = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != ".") & ~x.endswith(":"))
