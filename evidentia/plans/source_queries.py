@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..operators import links, source
-from ..operators.cuts import cut
+from ..operators.cuts import cut, shared_folder
 from ..sources.tables import table
-from ..streaming import projections
+from ..streaming import memory, projections
 from .graphs import EDGES_SQL, fk_edges
 from .table_queries import _DOT, every_hundredth, vectors
 
@@ -100,10 +102,20 @@ def memory_stream(s, d):
     return out.select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
 
+def bitemporal(s, d):
+    """What was known on 20 January of each user and event type, as of the 15th, from facts taken over a stream; an event is recorded up to six hours late."""
+    e = projections.event_stream(s, f"{d}/events*.parquet")
+    recorded = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 7).cast("int"))
+    facts = e.select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("valid"), recorded.cast("timestamp").alias("recorded"), F.round("value", 6).cast("string").alias("value"))
+    # Files of the table come in any order, so none of it is late.
+    kept = memory.keep(s, facts, f"{shared_folder(s)}/memory-{uuid.uuid4().hex}", 10_000 * 86_400_000)
+    return memory.as_of(kept, "2024-01-15 00:00:00", "2024-01-20 00:00:00").select("key", "event_id", F.col("value").cast("double").alias("value"))
+
+
 QUERIES = {
     "path_classes": classes, "secret_redaction": redactions, "definition_at_position": positions, "stack_frame_suffix_match": frames, "context_bundle_quota": quotas,
     "token_budget_tokens": token_budget, "endpoint_page": endpoint_page, "vector_mutual_links": vector_links("mutual"), "vector_union_links": vector_links("union"),
-    "link_suggestions": suggestions, "memory_projection_stream": memory_stream,
+    "link_suggestions": suggestions, "memory_projection_stream": memory_stream, "memory_bitemporal": bitemporal,
     "string_block_duplicates": lambda s, d: source.block_duplicates(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")),
 }
 
@@ -144,6 +156,8 @@ SELECT page_id, path, total, 35 < total AS has_more, CASE WHEN 35 < total THEN C
 p AS (SELECT page_id AS id, regexp_extract(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '([^.]+[.][^.]+)$', 1) AS site, regexp_extract(url, '^([^?#]*)', 1) AS canonical, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]*)', 1) AS language FROM pages),
 j AS (SELECT a AS source, b AS target, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, y.id % 3 DESC, b) AS rank FROM l JOIN p x ON a = x.id JOIN p y ON b = y.id
   WHERE y.id % 7 <> 0 AND x.site = y.site AND x.canonical <> y.canonical AND x.language = y.language AND b <> a + 1) SELECT * FROM j WHERE rank <= 3""",
+    "memory_bitemporal": """SELECT user_id || ':' || event_type AS key, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, recorded DESC, event_id DESC) AS r FROM
+  (SELECT *, ts + to_hours(event_id % 7) AS recorded FROM events) WHERE ts <= TIMESTAMP '2024-01-15' AND recorded <= TIMESTAMP '2024-01-20') WHERE r = 1""",
     "memory_projection_stream": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-01-15') WHERE k = 1",
     "string_block_duplicates": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), b AS (SELECT doc_id, k * 24 + 1 AS line, lines[k * 24 + 1:k * 24 + 24] AS block FROM (SELECT doc_id, lines, unnest(range(0, (len(lines) - 1) // 24 + 1)) AS k FROM l)),
 g AS (SELECT sha256(array_to_string(block, chr(10))) AS digest, count(*) AS n, min({'id': doc_id, 'line': line}) AS f FROM b WHERE len(block) >= 3 GROUP BY 1) SELECT digest, n, f.id AS first_id, f.line AS first_line FROM g WHERE n > 1""",
