@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import resolve
+from ..operators import resolve, templates
 from ..operators.cuts import cut_table
 from ..sources.tables import table
 
@@ -80,7 +80,39 @@ def references(s, d):
     return resolve.resolve_references(refs, sym, bindings, imported).select("ref.*", "target", "stage")
 
 
-QUERIES = {"import_targets": import_targets, "reexport_closure": reexports, "reference_ladder": references}
+#: rule, from_path, from_not, to_path, to_not, kinds.
+TEMPLATES = [
+    ("own_module", r"^src/([^/]+)/m([0-9]+)[.]ts$", None, r"^src/$1/", r"^src/$1/[mM]?$2", ["any"]),
+    ("other_brand", r"^pkg/([^/]+)/", r"m[0-4][.]go$", r"^svc/src/main/java/com/", r"^svc/src/main/java/com/$1/", ["calls"]),
+    ("folder_or_file", r"^src/brand(1)?([0-9])/[mM][0-9]*(/index)?[.]js$", None, r"^(src|pkg|svc/src/main/java/com)/brand$1$2(/index)?", None, ["runtime"]),
+    ("anywhere", r"com/brand2[0-9]/m([0-9])", None, r"m$1[.](ts|go)$", r"^src/brand1", ["uses"]),
+]
+
+
+def template_edges(s, d):
+    """Files of a part and of another one that its supplier's number leads to."""
+    f = cut_table(part_files(s, d).select("key", "path"))
+    n = f.agg((F.max("key") + 1).alias("n"))
+    l = table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(F.broadcast(n))  # one row
+    l = l.withColumn("other", (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % F.col("n"))
+    kind = F.when(F.col("l_suppkey") % 2 == 0, "calls").otherwise("uses")
+    return l.join(f.toDF("l_partkey", "from_path"), "l_partkey").join(f.toDF("other", "to_path"), "other").select("from_path", "to_path", kind.alias("kind"))
+
+
+def template_rules(s, d):
+    rules = s.createDataFrame([(*t, "error") for t in TEMPLATES], "rule string, from_path string, from_not string, to_path string, to_not string, kinds array<string>, severity string")
+    return templates.template_violations(template_edges(s, d), rules)
+
+
+def unresolved(s, d):
+    """Imports that resolve to nothing, in files of two brands."""
+    missing = import_targets(s, d).where("path is null").join(part_files(s, d).select(F.col("key").alias("part"), F.col("path").alias("file"), "brand"), "part")
+    rules = s.createDataFrame([("whole_imports", "forbid", ["brand1", "brand7"], ["unresolved"], "warn"), ("calls_only", "forbid", ["brand2"], ["calls"], "error"), ("needs", "require", ["brand3"], ["unresolved"], "error")], "rule string, action string, sources array<string>, kinds array<string>, severity string")
+    imports = missing.select(F.col("file").alias("path"), F.concat(F.lit("m"), ((F.col("part") + F.col("supplier") * 4) % 50).cast("string")).alias("target"))
+    return templates.unresolved_violations(imports, missing.select(F.col("file").alias("path"), F.col("brand").alias("component")), rules)
+
+
+QUERIES = {"import_targets": import_targets, "reexport_closure": reexports, "reference_ladder": references, "template_violations": template_rules, "unresolved_imports": unresolved}
 
 _FILES = """f AS MATERIALIZED (SELECT p_partkey AS key, replace(lower(p_brand), '#', '') AS brand, CASE WHEN p_partkey % 4 = 0 THEN 'src/' || replace(lower(p_brand), '#', '') || '/m' || p_partkey % 50 || '.ts'
   WHEN p_partkey % 8 = 1 THEN 'src/' || replace(lower(p_brand), '#', '') || '/m' || p_partkey % 50 || '/index.js' WHEN p_partkey % 8 = 5 THEN 'src/' || replace(lower(p_brand), '#', '') || '/M' || p_partkey % 50 || '.js'
@@ -107,6 +139,13 @@ h AS (SELECT part, supplier, arg_min(path, rank * 2 + way) AS path FROM (SELECT
 go AS (SELECT part, supplier, count(DISTINCT u.path) || ' ' || min(u.path) AS path FROM l JOIN u ON u.path LIKE 'pkg/' || brand || '/%.go' WHERE part % 4 = 2 GROUP BY ALL),
 j AS (SELECT part, supplier, u.path FROM l JOIN u ON u.path = 'svc/src/main/java/com/' || brand || '/' || m || '.java' WHERE part % 4 = 3)
 SELECT part, supplier, coalesce(h.path, go.path, j.path) AS path FROM l LEFT JOIN h USING (part, supplier) LEFT JOIN go USING (part, supplier) LEFT JOIN j USING (part, supplier)""",
+    "template_violations": f"""WITH {_FILES}, z AS (SELECT max(key) + 1 AS n FROM f),
+e AS MATERIALIZED (SELECT DISTINCT concat(a.path, '') AS x, concat(b.path, '') AS y, l_suppkey % 2 = 0 AS calls FROM lineitem, z, f a, f b WHERE a.key = l_partkey AND b.key = (l_partkey * 7 + l_suppkey * 3) % n),
+v AS (SELECT 'own_module' AS rule, x, y, calls FROM e WHERE regexp_matches(x, '^src/([^/]+)/m([0-9]+)[.]ts$') AND starts_with(y, 'src/' || split_part(x, '/', 2) || '/') AND NOT regexp_matches(y, '^src/[^/]+/[mM]?' || regexp_extract(x, 'm([0-9]+)[.]ts$', 1))
+  UNION ALL SELECT 'other_brand', x, y, calls FROM e WHERE calls AND starts_with(x, 'pkg/') AND NOT regexp_matches(x, 'm[0-4][.]go$') AND starts_with(y, 'svc/') AND split_part(y, '/', 6) <> split_part(x, '/', 2)
+  UNION ALL SELECT 'folder_or_file', x, y, calls FROM e WHERE regexp_matches(x, '^src/brand(1)?([0-9])/[mM][0-9]*(/index)?[.]js$') AND starts_with(regexp_replace(y, '^(src|pkg|svc/src/main/java/com)/', ''), regexp_extract(x, '^src/(brand1?[0-9])/', 1))
+  UNION ALL SELECT 'anywhere', x, y, calls FROM e WHERE NOT calls AND regexp_matches(x, 'com/brand2[0-9]/m([0-9])') AND regexp_matches(y, 'm' || regexp_extract(x, 'com/brand2[0-9]/m([0-9])', 1) || '[.](ts|go)$') AND NOT starts_with(y, 'src/brand1'))
+SELECT sha256(concat_ws('|', rule, x, y, k)) AS fingerprint, rule, 'error' AS severity, x AS from_path, y AS to_path, k AS kind FROM (SELECT *, CASE WHEN calls THEN 'calls' ELSE 'uses' END AS k FROM v)""",
     "reexport_closure": f"""WITH x AS (SELECT l_orderkey, l_partkey, min(l_partkey) OVER (PARTITION BY l_orderkey) AS src FROM lineitem), e AS MATERIALIZED (SELECT DISTINCT src, l_partkey AS dst FROM x WHERE l_partkey <> src),
 e0 AS (SELECT p_partkey AS key FROM part), {', '.join(_level(k) for k in range(1, 5))}
 SELECT key AS part, path AS reached, CAST(place AS BIGINT) AS place FROM ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(1, 5))})""",
@@ -128,3 +167,6 @@ a AS (SELECT t.o, t.p, t.s, way, own, method, CASE WHEN d0 = d1 THEN d0 WHEN d0
 SELECT o AS l_orderkey, p AS l_partkey, s AS l_suppkey, CASE way WHEN 0 THEN coalesce(own, bound, file, whole) WHEN 1 THEN method END AS target,
 CASE way WHEN 0 THEN CASE WHEN own IS NOT NULL THEN 'own_file' WHEN bound IS NOT NULL THEN 'import_binding' WHEN file IS NOT NULL THEN 'imported_file' WHEN whole IS NOT NULL THEN 'repository' ELSE 'unresolved' END WHEN 1 THEN CASE WHEN method IS NULL THEN 'refused' ELSE 'self_method' END ELSE 'refused' END AS stage FROM a""",
 }
+ORACLE_SQL["unresolved_imports"] = f"""WITH i AS ({ORACLE_SQL['import_targets']}), {_FILES},
+m AS (SELECT DISTINCT f.path AS file, 'm' || (part + supplier * 4) % 50 AS target FROM i JOIN f ON key = part WHERE i.path IS NULL AND brand IN ('brand1', 'brand7'))
+SELECT sha256(concat_ws('|', 'whole_imports', file, target)) AS fingerprint, 'whole_imports' AS rule, 'warn' AS severity, file AS path, target FROM m"""
