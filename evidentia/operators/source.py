@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut_table
 from .spans import at_position  # noqa: F401
 
 #: Consecutive rows that are summed together before a budget is drawn.
@@ -91,14 +92,17 @@ def fit_budget(rows: DataFrame, group: str, order: str, size: str, budget: int,
 
 
 def by_quota(rows: DataFrame, group: str, bucket: str, order: list[str], quotas: dict[str, int], most: int) -> DataFrame:
-    """The first rows of each group and bucket up to the bucket's quota, in the quotas' order, most of a group in all; plus rank within the group."""
-    quota, place = F.lit(0), F.lit(len(quotas))
+    """The first rows of each group and bucket up to the bucket's quota, in the quotas' order, most of a group in all; plus rank within the group.
+
+    Each bucket has its own limit, as a number, so every task passes on no more than that of a group: a hub's rows are not gathered to be ranked.
+    """
+    rows = cut_table(rows.where(F.col(bucket).isin(*quotas)))
+    by, taken = Window.partitionBy(group).orderBy(*order), None
     for k, (name, n) in enumerate(quotas.items()):
-        quota = F.when(F.col(bucket) == name, n).otherwise(quota)
-        place = F.when(F.col(bucket) == name, k).otherwise(place)
-    taken = rows.withColumn("_q", quota).withColumn("_k", place).withColumn("_n", F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order))).where(F.col("_n") <= F.col("_q"))
+        own = rows.where(F.col(bucket) == name).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).withColumn("_k", F.lit(k))
+        taken = own if taken is None else taken.unionByName(own)
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_k", "_n"))
-    return taken.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).drop("_q", "_k", "_n")
+    return taken.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).drop("_n", "_k")
 
 
 def with_page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
