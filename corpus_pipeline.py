@@ -1,4 +1,8 @@
-"""From documents to packed training bins: quality, line dedup, near-dedup, personal data, packing."""
+"""From documents to packed training bins: quality, line dedup, near-dedup, personal data, packing.
+
+All stages but the last return the columns of documents alone; others, whatever their names, are left out. Texts of any length are
+read whole, no rows give no rows, and rows with null or repeated ids are documents of their own, but where a stage says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import lines, minhash, packing, pii, quality
 from evidentia.llm.common import keyed, table
+from evidentia.operators.cuts import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,8 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents, each written as Parquet and read again by the next."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{shared}/corpus-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
