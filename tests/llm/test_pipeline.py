@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as cp
 from evidentia.llm import packing
 from evidentia.llm.queries import QUERIES
@@ -64,3 +66,19 @@ def test_run_against_brute_force(spark):
     for r in rows:
         fill[r["bin_id"]] += r["length"]
     assert all(r["bin_capacity"] == min(c for c in packing.CAPACITIES if c >= fill[r["bin_id"]]) for r in rows)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    stage = dict(cp.STAGES)[name]
+    extra = ("_key", "key", "line", "spans", "digest", "score", "kept", "bin")
+    rows = [(None, "null id, some words of its own"), (None, None), (1, "same words\nsame words"), (1, "same words\nsame words"), (2, ""), (3, "mail a@b.cd " + "word " * 50_000)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * len(extra)) for i, t in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"{c} string" for c in extra]]))
+    out = stage(spark, d, "/root/testdata/sf0.001")
+    ids = [str(r["doc_id"]) for r in out.select("doc_id").collect()]
+    if name == "best_fit_packing":
+        assert set(ids) == {"None", "1", "2", "3"}
+    else:
+        assert out.columns == list(cp.COLUMNS) and set(ids) <= {"None", "1", "2", "3"}
+        assert ids.count("1") == {"minhash_near_dedup": 1}.get(name, ids.count("1")) and ids.count("1") <= 2
+    assert stage(spark, d.limit(0), "/root/testdata/sf0.001").count() == 0
