@@ -6,22 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Directory and file names by convention of tools and languages.
-TEST_SEGMENTS = "__test__ __tests__ test tests e2e spec specs".split()
-TEST_MARKERS = ".test. .tests. .spec. .itest. .e2e. _test. _spec.".split()
-PLATFORM_ROOTS = ".github .gitlab".split()
-PLATFORM_SEGMENTS = "ci workflows .circleci deploy k8s helm".split()
-MANIFESTS = (
-    "package.json package-lock.json pnpm-lock.yaml yarn.lock cargo.toml cargo.lock pyproject.toml requirements.txt "
-    "go.mod go.sum pom.xml build.gradle build.gradle.kts settings.gradle settings.gradle.kts"
-).split()
-AUXILIARY_SEGMENTS = (
-    "generated vendor vendored mock mocks mockup mockups fixture fixtures fuzz fuzz_targets stories docs bench benches "
-    "benchmark benchmarks script scripts temp dist build"
-).split()
-AUXILIARY_SUFFIXES = "-bench _bench -benchmark _benchmark".split()
-AUXILIARY_FILES = "test.rs tests.rs spec.rs specs.rs".split()
-PROSE = ".md .markdown .mdown .mkd .mkdn .rst .adoc .asciidoc".split()
-SCRIPTS = "js cjs mjs ts cts mts".split()
+TEST_SEGMENTS = ["__test__", "__tests__", "test", "tests", "e2e", "spec", "specs"]
+TEST_MARKERS = [".test.", ".tests.", ".spec.", ".itest.", ".e2e.", "_test.", "_spec."]
+PLATFORM_ROOTS = [".github", ".gitlab"]
+PLATFORM_SEGMENTS = ["ci", "workflows", ".circleci", "deploy", "k8s", "helm"]
+MANIFESTS = [
+    "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "cargo.toml", "cargo.lock", "pyproject.toml", "requirements.txt", "go.mod",
+    "go.sum", "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts",
+]
+AUXILIARY_SEGMENTS = [
+    "generated", "vendor", "vendored", "mock", "mocks", "mockup", "mockups", "fixture", "fixtures", "fuzz", "fuzz_targets", "stories", "docs",
+    "bench", "benches", "benchmark", "benchmarks", "script", "scripts", "temp", "dist", "build",
+]
+AUXILIARY_SUFFIXES = ["-bench", "_bench", "-benchmark", "_benchmark"]
+AUXILIARY_FILES = ["test.rs", "tests.rs", "spec.rs", "specs.rs"]
+PROSE = [".md", ".markdown", ".mdown", ".mkd", ".mkdn", ".rst", ".adoc", ".asciidoc"]
+SCRIPTS = ["js", "cjs", "mjs", "ts", "cts", "mts"]
 
 
 def _any(names: list[str]) -> str:

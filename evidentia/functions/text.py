@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Parts of key names that mark a secret.
-SECRET_KEYS = "password token secret apikey api_key authorization cookie credential privatekey private_key accesskey clientsecret".split()
+SECRET_KEYS = [
+    "password", "token", "secret", "apikey", "api_key", "authorization", "cookie", "credential", "privatekey", "private_key", "accesskey",
+    "clientsecret",
+]
 # Words of a question that name no symbol.
-STOP_WORDS = (
-    "who what where when how why does do the a an of to in is are this that which please show find me calls call calling callers callee callees "
-    "imports import uses use using"
-).split()
+STOP_WORDS = [
+    "who", "what", "where", "when", "how", "why", "does", "do", "the", "a", "an", "of", "to", "in", "is", "are", "this", "that", "which", "please",
+    "show", "find", "me", "calls", "call", "calling", "callers", "callee", "callees", "imports", "import", "uses", "use", "using",
+]
 SEVERITIES = ("low", "medium", "high", "critical")
 
 
