@@ -140,18 +140,28 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, bindings: DataFrame,
     own = plain.join(defined, ["path", "name"]).withColumn("target", picked).where(F.col("target").isNotNull() & (calls | ~F.col("target").eqNullSafe(F.col("source")))).select("ref", "target", F.lit("own_file").alias("stage"))
     left = cut_table(plain.join(own.select("ref"), "ref", "left_anti"))
 
-    b = bindings.select("path", F.col("local").alias("name"), "target_path", "imported", "forwarded").distinct()
+    # What a file's name is bound to is the same for all its references but for their sources, so it is settled once: number, least and greatest of the targets.
+    ways = F.explode(F.array(F.struct(F.lit(True).alias("calls"), F.col("call").alias("target")), F.struct(F.lit(False).alias("calls"), F.col("any").alias("target")))).alias("x")
+    b = bindings.select("path", F.col("local").alias("name"), "target_path", "imported", "forwarded").join(left.select("path", "name").distinct(), ["path", "name"], "left_semi").distinct()
     there = defined.select(F.col("path").alias("target_path"), F.col("name").alias("imported"), "any", "call")
-    hit = left.join(b, ["path", "name"]).join(there, ["target_path", "imported"]).withColumn("target", picked).where(F.col("target").isNotNull() & ~F.col("target").eqNullSafe(F.col("source")))
-    # Least and greatest target tell whether there is one.
-    side = lambda on, name: [F.min(F.when(on, F.col("target"))).alias(f"{name}0"), F.max(F.when(on, F.col("target"))).alias(f"{name}1")]
-    g = hit.groupBy("ref").agg(*side(~F.col("forwarded"), "d"), *side(F.col("forwarded"), "f"))
-    bound = g.select("ref", F.when(F.col("d0").isNotNull(), F.when(F.col("d0") == F.col("d1"), F.col("d0"))).when(F.col("f0") == F.col("f1"), F.col("f0")).alias("target"), F.lit("import_binding").alias("stage")).where("target is not null")
+    meant = b.join(there, ["target_path", "imported"]).select("path", "name", "forwarded", ways).select("path", "name", "forwarded", "x.*").where("target is not null").distinct()
+    side = lambda on, x: [F.count_if(on).alias(f"{x}n"), F.min(F.when(on, F.col("target"))).alias(f"{x}0"), F.max(F.when(on, F.col("target"))).alias(f"{x}1")]
+    meant = cut_table(meant.groupBy("path", "name", "calls").agg(*side(~F.col("forwarded"), "d"), *side(F.col("forwarded"), "f")))
+    own_ = lambda x: F.col(x).eqNullSafe(F.col("source"))
+    # A reference's own source is no target; of what else there is, one is the target.
+    some = lambda x: (F.col(f"{x}n") > 1) | ((F.col(f"{x}n") == 1) & ~own_(f"{x}0"))
+    only = lambda x: F.when(F.col(f"{x}n") == 1, F.col(f"{x}0")).when((F.col(f"{x}n") == 2) & own_(f"{x}0"), F.col(f"{x}1")).when((F.col(f"{x}n") == 2) & own_(f"{x}1"), F.col(f"{x}0"))
+    target = F.when(some("d"), only("d")).when(some("f"), only("f"))
+    bound = left.withColumn("calls", calls).join(meant, ["path", "name", "calls"]).select("ref", target.alias("target"), F.lit("import_binding").alias("stage")).where("target is not null")
     left = cut_table(left.join(bound.select("ref"), "ref", "left_anti"))
 
     # Names that no file defines, or that the file has asked before, are not carried to its imports again.
-    asked = left.select("path", "name", "kind").distinct().join(defined.select("name").distinct(), "name", "left_semi").withColumn("calls", calls).select("path", "name", "calls").distinct()
-    seen = asked.join(imported.select("path", "target_path").distinct(), "path").join(defined.withColumnRenamed("path", "target_path"), ["target_path", "name"])
+    # Each goes the way that has fewer rows: through the files that its file imports, or those that define the name.
+    imports, defining = cut_table(imported.select("path", "target_path").distinct()), defined.withColumnRenamed("path", "target_path")
+    asked = left.select("path", "name", calls.alias("calls")).distinct().join(defined.groupBy("name").agg(F.count("*").alias("files")), "name")
+    asked = cut_table(asked.join(imports.groupBy("path").agg(F.count("*").alias("paths")), "path"))
+    seen = asked.where("paths <= files").join(imports, "path").join(defining, ["target_path", "name"])
+    seen = seen.unionByName(asked.where("paths > files").join(defining, "name").join(imports, ["path", "target_path"]))
     seen = seen.withColumn("target", F.when(F.col("calls"), F.col("call")).otherwise(F.col("any"))).where("target is not null").groupBy("path", "name", "calls").agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high"))
     j = left.withColumn("calls", calls).join(seen, ["path", "name", "calls"])
     other = F.when(F.col("low").eqNullSafe(F.col("source")), F.col("high")).when(F.col("high").eqNullSafe(F.col("source")), F.col("low"))
