@@ -1,6 +1,6 @@
 """Work that grows with the input: rows that Spark makes on the way, as its own metrics give them."""
 
-from evidentia.operators import resolve
+from evidentia.operators import policy, resolve
 
 
 def most_rows(spark, since):
@@ -39,3 +39,18 @@ def test_ladder_settles_a_bound_name_once(spark):
     # Of the two direct targets, each is out for the reference that it makes itself.
     assert got == {0: ("s1", "import_binding"), 1: ("s0", "import_binding"), **{i: (None, "unresolved") for i in range(2, n)}}
     assert most_rows(spark, since) < 20 * n
+
+
+def test_policy_holds_an_edge_once(spark, monkeypatch):
+    """Many rules take the same edges; a direct rule asks for one hop, and an end of very many edges lies in several buckets."""
+    monkeypatch.setattr(policy, "BUCKET", 400)
+    n, k, few = 1000, 20, 10
+    edges = spark.range(n).selectExpr("concat('a', id) AS src", "'hub' AS dst", "'calls' AS kind").union(spark.range(n).selectExpr("concat('b', id)", "concat('a', id)", "'uses'"))
+    assigned = spark.range(few).selectExpr("concat('b', id) AS id", "concat('p/', id) AS path", "'b' AS component").unionByName(spark.createDataFrame([("hub", "h", "hub")], "id string, path string, component string"))
+    found = [(f"t{i}", "forbid", "transitive", ["b"], ["hub"], ["any"], "error") for i in range(k)] + [("calls only", "forbid", "transitive", ["b"], ["hub"], ["calls"], "error"), ("direct", "require", "direct", ["b"], ["hub"], ["any"], "error")]
+    rules = spark.createDataFrame(found, "rule string, action string, reachability string, sources array<string>, targets array<string>, kinds array<string>, severity string")
+    some = policy.path_violations(edges, assigned, rules.where("rule in ('t0', 'calls only', 'direct')"))
+    assert {tuple(r) for r in some.groupBy("rule", "hops").count().collect()} == {("t0", 2, few), ("direct", None, few)}
+    since = last_run(spark)
+    policy.path_violations(edges, assigned.where("id <> 'hub'"), rules).collect()  # nothing is reached
+    assert most_rows(spark, since) < k * n // 2
