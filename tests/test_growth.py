@@ -1,6 +1,10 @@
 """Work that grows with the input: rows that Spark makes on the way, as its own metrics give them."""
 
-from evidentia.operators import policy, resolve
+import random
+
+import pytest
+
+from evidentia.operators import flow, policy, resolve
 
 
 def most_rows(spark, since):
@@ -54,3 +58,20 @@ def test_policy_holds_an_edge_once(spark, monkeypatch):
     since = last_run(spark)
     policy.path_violations(edges, assigned.where("id <> 'hub'"), rules).collect()  # nothing is reached
     assert most_rows(spark, since) < k * n // 2
+
+
+@pytest.mark.parametrize("wide, bits", [(1024, 512), (1024, 2), (4, 512), (0, 512)])
+def test_transport_hops_form_a_pair_once(spark, monkeypatch, wide, bits):
+    """Pairs that share many channels, by bits, by lists and by both."""
+    monkeypatch.setattr(flow, "WIDE", wide)
+    monkeypatch.setattr(flow, "BITS", bits)
+    monkeypatch.setattr(flow, "SIDE", 16)
+    rng = random.Random(5)
+    rows = [(rng.choice("pc"), f"u{rng.randrange(50)}", str(int(rng.random() ** 2 * 90))) for _ in range(1500)] + [("p", "u1", None), ("c", None, "3"), ("p", "only", "rare"), ("c", "u2", "rare"), ("p", "alone", "nowhere")]
+    e = spark.createDataFrame(rows, "side string, id string, channel string")
+    since = last_run(spark)
+    got = [tuple(r) for r in flow.transport_hops(e.where("side = 'p'"), e.where("side = 'c'")).collect()]
+    want = {(a, b) for x, a, k in rows for y, b, m in rows if x == "p" and y == "c" and k == m and k and a and b and a != b}
+    assert len(got) == len(set(got)) and set(got) == want
+    if (wide, bits) == (1024, 512):
+        assert most_rows(spark, since) <= len(want)
