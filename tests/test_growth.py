@@ -5,6 +5,7 @@ import random
 import pytest
 
 from evidentia.operators import flow, policy, resolve
+from evidentia.plans import graphs
 
 
 def most_rows(spark, since):
@@ -75,3 +76,13 @@ def test_transport_hops_form_a_pair_once(spark, monkeypatch, wide, bits):
     assert len(got) == len(set(got)) and set(got) == want
     if (wide, bits) == (1024, 512):
         assert most_rows(spark, since) <= len(want)
+
+
+def test_edges_are_made_distinct_in_tasks_of_bounded_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = graphs.fk_edges(spark, sf).collect()
+    monkeypatch.setattr(graphs, "DEALT", 200)
+    edges = graphs.fk_edges(spark, sf)
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, want))
+    sizes = edges.where("kind in ('includes', 'fulfilled_by', 'supplies')").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) > 10_000 and max(sizes) <= 2 * graphs.DEALT
