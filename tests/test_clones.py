@@ -34,6 +34,28 @@ def test_edits():
             assert clones.edits(np.array(a, int), np.array(b, int), most) == min(want, most + 1)
 
 
+def test_words_known_are_not_gone_through_for_each_text():
+    class Words(dict):
+        def keys(self):
+            raise AssertionError("all words")
+
+        __iter__ = keys
+
+    words = Words()
+    first = clones._hashed(words, ["a", "b", "a"])
+    assert first[0] == first[2] != first[1] and clones._hashed(words, ["b", "c"])[0] == first[1] and len(words) == 3
+
+
+def test_edits_of_long_rows(monkeypatch):
+    """No array of a row's length is made for each token."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 50, 3000)
+    b = np.delete(a, rng.choice(3000, 40, replace=False))
+    b = np.insert(b, rng.integers(0, len(b), 25), 99)
+    monkeypatch.setattr(np, "full", None)
+    assert clones.edits(a, b, 600) == edit_distance(a.tolist(), b.tolist()) and clones.edits(a, b, 20) == 21
+
+
 def test_winnow_keeps_one_of_each_window():
     rng = np.random.default_rng(2)
     for n in (0, 7, 8, 12, 30, 200):
