@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evidentia.operators import flow, policy, resolve
+from evidentia.operators import flow, graph, policy, resolve
 from evidentia.plans import graphs, resolve_queries
 
 
@@ -96,3 +96,20 @@ def test_an_import_is_resolved_once(spark, query):
     since = last_run(spark)
     assert resolve_queries.QUERIES[query](spark, sf).count() > 0
     assert most_rows(spark, since) <= rows
+
+
+@pytest.mark.parametrize("kind", ["path", "random", "star"])
+def test_weak_components_shrink_the_graph(spark, monkeypatch, kind):
+    """Later rounds have the links between ends alone; loops are nodes, null ends are none."""
+    rng, n = random.Random(7), 300
+    pairs = {"path": [(i, i + 1) for i in range(n)], "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(n)], "star": [(n, i) for i in range(n) if i % 3]}[kind] + [(900, 900), (None, 5), (None, 901)]
+    tables, cut_table = [], graph.cut_table
+    monkeypatch.setattr(graph, "cut_table", lambda d: tables.append(cut_table(d)) or tables[-1])
+    got = dict(map(tuple, graph.weak_components(spark.createDataFrame(pairs, "src long, dst long")).collect()))
+    root = {x: x for p in pairs if None not in p for x in p}
+    for _ in root:
+        for a, b in (p for p in pairs if None not in p):
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+    links = [t.count() for t in tables if t.columns == ["src", "dst"]]
+    assert links[-1] == 0 and all(2 * c <= a for a, c in zip(links, links[2:])) and len(tables) < 40
