@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cuts import cut
+from .cuts import cut, cut_table
 
 
 def diff_nodes(before: DataFrame, after: DataFrame, compared: list[str]) -> DataFrame:
@@ -65,13 +65,14 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, relations: tuple[str,
     e = edges.where(F.col("kind").isin(*relations)) if relations else edges
     if blocked:
         e = e.where(~F.split("src", ":")[0].isin(*blocked))
-    step = cut(e.select("src", "dst", "kind").distinct())
-    front = cut(seeds.select(F.col("id").alias("seed"), "id").distinct())
+    # Repeated edges stay, as a hop takes the least of them; tables have a size of their own, so a small frontier goes to the edges.
+    step = cut_table(e.select("src", "dst", "kind"))
+    front = cut_table(seeds.select(F.col("id").alias("seed"), "id").distinct())
     seen = front
     out = None
     for k in range(1, depth + 1):
         going = front.select("seed", F.col("id").alias("dst")).join(step, "dst").groupBy("seed", F.col("src").alias("id")).agg(F.min(F.struct("kind", "dst")).alias("w"))
-        hits = cut(going.join(seen, ["seed", "id"], "left_anti").select("seed", "id", F.lit(k).cast("long").alias("distance"), F.col("w.kind").alias("relation"), F.col("w.dst").alias("via")))
+        hits = cut_table(going.join(seen, ["seed", "id"], "left_anti").select("seed", "id", F.lit(k).cast("long").alias("distance"), F.col("w.kind").alias("relation"), F.col("w.dst").alias("via")))
         if hits.isEmpty():
             break
         out = hits if out is None else out.unionByName(hits)

@@ -4,12 +4,12 @@ import random
 
 import pytest
 
-from evidentia.operators import flow, graph, policy, resolve
+from evidentia.operators import change, flow, graph, policy, resolve
 from evidentia.plans import graphs, resolve_queries
 
 
-def most_rows(spark, since):
-    """The most rows that one operator put out in the executions numbered after since."""
+def most_rows(spark, since, name="number of output rows"):
+    """The most rows that one operator put out (or name says) in the executions numbered after since."""
     store, most = spark._jsparkSession.sharedState().statusStore(), 0
     runs = store.executionsList()
     for i in range(runs.length()):
@@ -22,7 +22,7 @@ def most_rows(spark, since):
             for k in range(metrics.length()):
                 m = metrics.apply(k)
                 value = values.get(m.accumulatorId())
-                if m.name() == "number of output rows" and value.isDefined():
+                if m.name() == name and value.isDefined():
                     most = max(most, int(value.get().replace(",", "")))
     return most
 
@@ -113,3 +113,26 @@ def test_weak_components_shrink_the_graph(spark, monkeypatch, kind):
     assert got == root
     links = [t.count() for t in tables if t.columns == ["src", "dst"]]
     assert links[-1] == 0 and all(2 * c <= a for a, c in zip(links, links[2:])) and len(tables) < 40
+
+
+@pytest.mark.parametrize("ask", ["khop", "shortest_path", "walk", "impact"])
+def test_walks_do_not_exchange_the_edges(spark, ask):
+    n = 20_000
+    edges = spark.range(n).selectExpr("concat('a:', id) AS src", "concat('a:', id + 1) AS dst", "'next' AS kind", "'parsed' AS evidence")
+    edges = edges.union(edges.limit(100))
+    seed = spark.createDataFrame([("a:7",)], "id string")
+    since = last_run(spark)
+    if ask == "khop":
+        got = {tuple(r) for r in graph.khop(edges, seed, 3).collect()}
+        assert got == {(f"a:{7 + k}", k) for k in range(4)}
+    elif ask == "shortest_path":
+        got = {tuple(r)[:3] for r in graph.shortest_path(edges, "a:300", "a:302").collect()}
+        assert got == {(1, "a:300", "a:301"), (2, "a:301", "a:302")}
+    elif ask == "walk":
+        nodes, walked, frontier, stop = flow.walk(edges, seed, 2, 100)
+        assert {tuple(r) for r in nodes.collect()} == {(f"a:{7 + k}", k) for k in range(3)} and stop == "MAX_DEPTH"
+        assert sorted(map(tuple, walked.collect())) == [("a:7", "a:8", "next"), ("a:8", "a:9", "next")] and frontier.isEmpty()
+    else:
+        got = {tuple(r) for r in change.impact(edges, seed, 2).collect()}
+        assert got == {("a:7", f"a:{7 - k}", k, "next", f"a:{8 - k}") for k in (1, 2)}
+    assert most_rows(spark, since, "shuffle records written") < n // 4
