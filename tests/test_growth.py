@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evidentia.operators import change, flow, graph, policy, resolve
+from evidentia.operators import change, flow, graph, policy, resolve, strong
 from evidentia.plans import graphs, resolve_queries
 
 
@@ -136,3 +136,17 @@ def test_walks_do_not_exchange_the_edges(spark, ask):
         got = {tuple(r) for r in change.impact(edges, seed, 2).collect()}
         assert got == {("a:7", f"a:{7 - k}", k, "next", f"a:{8 - k}") for k in (1, 2)}
     assert most_rows(spark, since, "shuffle records written") < n // 4
+
+
+def test_components_and_generations_broadcast_nothing(spark):
+    """What is broadcast goes through the driver, once for each round."""
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(70)], "src long, dst long")
+    since = last_run(spark)
+    c = strong.strong_components(edges).localCheckpoint()
+    flow.generations(c.select(c["component"].alias("id")).distinct(), flow.condensation(edges, c)).collect()
+    strong.shortest_cycles(edges, c).collect()
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.planGraph(run).allNodes() for run in range(since + 1, last_run(spark) + 1)]
+    names = {nodes.apply(j).name() for nodes in plans for j in range(nodes.length())}
+    assert "SortMergeJoin" in {n.split("(")[0].strip() for n in names} and not any(n.startswith("BroadcastExchange") for n in names)
