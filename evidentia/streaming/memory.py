@@ -2,72 +2,33 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Facts that the stream has taken: head tells whether the fact was the key's latest when it came, before is the one that it took over from.
-TAKEN = "key string, event_id long, valid timestamp, recorded timestamp, value string, head boolean, before long"
+FACT = ["key", "event_id", "valid", "recorded", "value"]
+#: Facts that the stream has taken.
+TAKEN = "key string, event_id long, valid timestamp, recorded timestamp, value string, taken timestamp"
 
 #: Rows without a key, an id or a time are no facts.
 IS_FACT = "key is not null and event_id is not null and valid is not null and recorded is not null"
 
 
-class TakeFacts(StatefulProcessor):
-    """Takes each fact of a key once and remembers the latest; ids are forgotten by a timer, once no repetition can come in time."""
-
-    def __init__(self, late_ms: int):
-        self.late_ms = late_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.ids = handle.getMapState("ids", "event_id long", "recorded_ms long")
-        self.head = handle.getValueState("head", "valid_ms long, recorded_ms long, event_id long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        facts = pd.concat(list(rows)).sort_values(["recorded", "event_id"], kind="stable")
-        out = []
-        head = self.head.get() if self.head.exists() else None
-        for f in facts.itertuples(index=False):
-            own = (int(f.event_id),)
-            if self.ids.containsKey(own):
-                continue
-            valid, recorded = (int(t.value // 1_000_000) for t in (f.valid, f.recorded))
-            self.ids.updateValue(own, (recorded,))
-            self.handle.registerTimer(recorded + self.late_ms + 1)
-            order = (int(f.valid.value // 1_000), int(f.recorded.value // 1_000), own[0])
-            newer = head is None or order > tuple(head)
-            out.append((key[0], own[0], f.valid, f.recorded, f.value, newer, int(head[2]) if newer and head is not None else None))
-            if newer:
-                head = order
-        if head is not None:
-            self.head.update(tuple(head))
-        frame = pd.DataFrame(out, columns=["key", "event_id", "valid", "recorded", "value", "head", "before"])
-        yield frame.astype({"event_id": "int64", "before": "Int64", "head": "bool"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for own in [k for k, v in self.ids.iterator() if v[0] + self.late_ms + 1 <= now]:
-            self.ids.removeKey(own)
-        yield pd.DataFrame({"key": [], "event_id": [], "valid": [], "recorded": [], "value": [], "head": [], "before": []}).astype({"key": "str", "event_id": "int64", "valid": "datetime64[ns]", "recorded": "datetime64[ns]", "value": "str", "head": "bool", "before": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
 def take(facts: DataFrame, late_ms: int) -> DataFrame:
-    """Of a stream of facts(key, event_id, valid, recorded, value) those that are taken: each event_id of a key once, none recorded over late_ms before the watermark."""
+    """Of a stream of facts(key, event_id, valid, recorded, value) those that are taken: each once, none recorded over late_ms before the watermark; taken is when its batch was.
+
+    What was taken is remembered until no repetition can come in time, by Spark's own state: no task calls for it fact by fact.
+    """
     marked = facts.where(IS_FACT).withWatermark("recorded", f"{late_ms} milliseconds")
-    return marked.groupBy("key").transformWithStateInPandas(TakeFacts(late_ms), TAKEN, "append", "eventTime")
+    return marked.select(*FACT).dropDuplicatesWithinWatermark(FACT).withColumn("taken", F.current_timestamp())
 
 
 def keep(spark: SparkSession, facts: DataFrame, folder: str, late_ms: int) -> DataFrame:
     """Take what facts, a stream, has to give now, and return all facts that were ever taken into folder.
 
     folder, which the caller names and keeps, holds the taken facts and the stream's state: another call goes on where the last one ended, and a
-    call that was broken off takes nothing twice.
+    call that was broken off takes nothing twice. An event_id of a key is one fact, that of its first batch, then recorded first. head tells whether
+    a fact was the key's latest when it came, before is the one that it took over from; who reads neither has them not worked out.
     """
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -76,7 +37,13 @@ def keep(spark: SparkSession, facts: DataFrame, folder: str, late_ms: int) -> Da
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(TAKEN).parquet(f"{folder}/taken")
+    taken = spark.read.schema(TAKEN).parquet(f"{folder}/taken")
+    d = taken.groupBy("key", "event_id").agg(F.min(F.struct("taken", "recorded", "valid", "value")).alias("m")).select("key", "event_id", "m.*")
+    # Facts of a batch come in order of recording.
+    earlier = Window.partitionBy("key").orderBy("taken", "recorded", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = F.struct("valid", "recorded", "event_id")
+    d = d.withColumn("_last", F.max(order).over(earlier)).withColumn("head", F.col("_last").isNull() | (order > F.col("_last")))
+    return d.select(*FACT, "head", F.when(F.col("head"), F.col("_last.event_id")).alias("before"))
 
 
 def as_of(facts: DataFrame, valid_at, recorded_at) -> DataFrame:

@@ -56,3 +56,12 @@ def test_corrections(spark, tmp_path):
     write(spark, f"{tmp_path}/c", [("a", 1, 10, 100, "x"), ("a", 2, 10, 200, "y"), ("a", 2, 10, 200, "y"), ("a", 3, 20, 150, "z")])
     got = {(r["event_id"], r["n"]) for r in memory.corrections(spark.read.parquet(f"{tmp_path}/c")).select("event_id", F.col("recorded_to").cast("long").alias("n")).collect()}
     assert got == {(1, 200), (2, None), (3, None)}
+
+
+def test_facts_are_taken_by_native_state(spark, tmp_path):
+    """No task asks for state fact by fact; of an id that says different things in one batch the one recorded first is the fact."""
+    write(spark, f"{tmp_path}/in/f1", [("a", 1, 20, 300, "late"), ("a", 1, 10, 200, "first"), ("a", 2, 15, 250, None), ("a", 2, 15, 250, None)])
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/f*")
+    assert "Python" not in memory.take(stream, DAY)._jdf.queryExecution().analyzed().toString()
+    kept = memory.keep(spark, stream, f"{tmp_path}/kept", DAY)
+    assert sorted((r["event_id"], r["value"], r["head"], r["before"]) for r in kept.collect()) == [(1, "first", True, None), (2, None, True, 1)]
