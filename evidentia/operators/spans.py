@@ -17,20 +17,18 @@ def blocks(start: Column, end: Column, levels: int) -> Column:
 
     There are at most two of a level, so a span of any length is a few dozen blocks, and each position lies in one of them.
     """
-    none = F.array().cast("array<struct<level:int,at:bigint>>")
+    lo, hi = start.cast("long"), end.cast("long")
 
-    def step(s: Column, level: Column) -> Column:
-        block = lambda at: F.array(F.struct(level.alias("level"), at.alias("at")))
-        odd = lambda x: x.bitwiseAND(F.lit(1)) != 0
-        left = (s["lo"] < s["hi"]) & odd(s["lo"])
-        lo = s["lo"] + left.cast("long")
-        right = (lo < s["hi"]) & odd(s["hi"])
-        hi = s["hi"] - right.cast("long")
-        out = F.concat(s["out"], F.when(left, block(s["lo"])).otherwise(none), F.when(right, block(hi)).otherwise(none))
-        return F.struct(F.shiftright(lo, 1).alias("lo"), F.shiftright(hi, 1).alias("hi"), out.alias("out"))
+    def of(level: int) -> list[Column]:
+        # Inside start to end, the level's blocks are those from the first that begins there to the last that ends there; an odd one at an end has no block above.
+        first, last = F.shiftright(lo + (1 << level) - 1, level), F.shiftright(hi, level)
+        left = (first < last) & (first.bitwiseAND(F.lit(1)) != 0)
+        right = (first + left.cast("long") < last) & (last.bitwiseAND(F.lit(1)) != 0)
+        block = lambda at: F.struct(F.lit(level).alias("level"), at.alias("at"))
+        return [F.when(left, block(first)), F.when(right, block(last - 1))]
 
-    first = F.struct(start.cast("long").alias("lo"), end.cast("long").alias("hi"), none.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), first, step, lambda s: s["out"])
+    # No function of an array's elements but the last, as those are not compiled.
+    return F.array_compact(F.array(*[b for level in range(levels + 1) for b in of(level)]))
 
 
 def at_position(spans: DataFrame, points: DataFrame, rank: Column | None = None) -> DataFrame:
@@ -39,11 +37,12 @@ def at_position(spans: DataFrame, points: DataFrame, rank: Column | None = None)
     start is inside, end is not, but an empty span holds its start. Of equally tight spans that of the least rank (a column of
     spans) wins, then the least name. Spans are cut into aligned blocks; of the spans that cover a block only the tightest is kept, and a
     point looks up its block of each level: no file's spans meet its points at one place, and no pair is formed that does not fit.
+    Of equal spans only the first by rank and name is cut up; the levels go as far as the longest span asks.
     """
     s = spans.where("file is not null and start <= end").select("file", "name", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (rank if rank is not None else F.lit(0)).alias("rank"))
-    s = cut_table(s.distinct())
-    far = s.agg(F.max(F.greatest(F.abs("start"), F.abs("end")))).first()[0]
-    levels = max(1, int(far or 0).bit_length() + 1)
+    s = cut_table(s.groupBy("file", "start", "end").agg(F.min(F.struct("rank", "name")).alias("b")).select("file", "start", "end", "b.*"))
+    far = s.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    levels = max(1, int(far or 0).bit_length())
     last = F.when(F.col("start") == F.col("end"), F.col("end") + 1).otherwise(F.col("end"))
     best = F.struct((F.col("end") - F.col("start")).alias("area"), "rank", "name", "start", "end")
     held = s.select("file", best.alias("m"), F.explode(blocks(F.col("start"), last, levels)).alias("b")).groupBy("file", "b").agg(F.min("m").alias("m"))

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from evidentia.operators import change, flow, graph, policy, resolve, strong
+from evidentia.operators import change, flow, graph, policy, resolve, spans, strong
 from evidentia.plans import graphs, resolve_queries
 
 
@@ -150,3 +151,13 @@ def test_components_and_generations_broadcast_nothing(spark):
     plans = [store.planGraph(run).allNodes() for run in range(since + 1, last_run(spark) + 1)]
     names = {nodes.apply(j).name() for nodes in plans for j in range(nodes.length())}
     assert "SortMergeJoin" in {n.split("(")[0].strip() for n in names} and not any(n.startswith("BroadcastExchange") for n in names)
+
+
+def test_equal_spans_are_cut_up_once(spark):
+    """Of many names of one span only the first is cut into blocks."""
+    n = 2_000
+    named = spark.range(n).select(F.lit("f").alias("file"), F.format_string("n%04d", F.col("id")).alias("name"), F.lit(1).alias("start"), F.lit(1_000).alias("end"))
+    since = last_run(spark)
+    got = spans.at_position(named, spark.createDataFrame([("f", 500)], "file string, at long")).collect()
+    assert [tuple(r) for r in got] == [("f", 500, "n0000", 1, 1_000)]
+    assert most_rows(spark, since) <= n
