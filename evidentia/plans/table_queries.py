@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import nearest, source
+from ..operators.joins import dealt
 from ..sources.tables import table
 
 
@@ -22,9 +23,12 @@ def lines_window(s, d):
 
 def cochange(s, d, least: int = 2):
     """Pairs of parts that share at least so many orders."""
-    b = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    pairs = b.alias("x").join(b.alias("y"), F.expr("x.l_orderkey = y.l_orderkey and x.l_partkey < y.l_partkey"))
-    return pairs.groupBy(F.col("x.l_partkey").alias("part_a"), F.col("y.l_partkey").alias("part_b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    l = table(s, d, "lineitem").select("l_orderkey", "l_partkey")
+    b = dealt(l, l.count(), "l_orderkey").distinct()
+    # As many pairs as there are, so that no task counts more of them as the table grows.
+    n = b.groupBy("l_orderkey").agg(F.count("*").alias("k")).agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0]
+    pairs = b.alias("x").join(b.alias("y"), F.expr("x.l_orderkey = y.l_orderkey and x.l_partkey < y.l_partkey")).select(F.col("x.l_partkey").alias("part_a"), F.col("y.l_partkey").alias("part_b"))
+    return dealt(pairs, n or 0, "part_a", "part_b").groupBy("part_a", "part_b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def perf_steps(s, d):

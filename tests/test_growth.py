@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import change, flow, graph, policy, resolve, spans, strong
-from evidentia.plans import graphs, resolve_queries
+from evidentia.operators import change, flow, graph, joins, policy, resolve, spans, strong
+from evidentia.plans import graphs, resolve_queries, table_queries
 
 
 def most_rows(spark, since, name="number of output rows"):
@@ -161,3 +161,18 @@ def test_equal_spans_are_cut_up_once(spark):
     got = spans.at_position(named, spark.createDataFrame([("f", 500)], "file string, at long")).collect()
     assert [tuple(r) for r in got] == [("f", 500, "n0000", 1, 1_000)]
     assert most_rows(spark, since) <= n
+
+
+def test_cochange_deals_pairs_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks take a bounded number of rows and of pairs, however many there are."""
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    orders = {o: sorted({(o * 7 + k * k) % 40 for k in range(o % 6)}) for o in range(300)}
+    spark.createDataFrame([(o, p) for o, ps in orders.items() for p in ps * 2], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for ps in orders.values():
+        for k, a in enumerate(ps):
+            for b in ps[k + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    got = table_queries.cochange(spark, str(tmp_path))
+    assert {(r["part_a"], r["part_b"]): r["n"] for r in got.collect()} == {k: n for k, n in want.items() if n >= 2}
+    assert got.rdd.getNumPartitions() >= sum(want.values()) // 100
