@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cuts import cut_table
+from .joins import TASK_ROWS, dealt
 
 #: Positions whose rows are put in order together.
 BLOCK = 4_096
@@ -15,17 +16,27 @@ def carry_forward(rows: DataFrame, value: str, block: int = BLOCK, before: bool
     """rows(id, pos, value, ...) plus carried: the last value that is not null up to the row, or, with before, up to the one before it; by pos, a whole number.
 
     The last value of each block of positions is found first, then for each block the last one before it, then blocks are filled on their own:
-    a text of a thousand million lines is put in order as its blocks, and no task holds its lines. Of equal positions neither comes first.
+    a text of a thousand million lines is put in order as its blocks, and no task holds its lines, nor, since blocks are carried over in
+    blocks themselves, all its blocks. Of equal positions neither comes first.
     """
+    return _carried(rows, value, block, before)[0].drop("_b")
+
+
+def _carried(rows: DataFrame, value: str, block: int, before: bool) -> tuple[DataFrame, int]:
+    """carry_forward() with the block as _b, by which and by id rows are dealt, and the number of rows."""
     at = F.floor(F.col("pos") / block)
     d = cut_table(rows.withColumn("_b", at))
-    last = d.where(F.col(value).isNotNull()).groupBy("id", "_b").agg(F.max_by(value, "pos").alias("_v"))
+    n = d.count()
+    d = dealt(d, n, "id", "_b")
     # One row for each block that has rows, as it is these that take the value over.
-    all_ = d.select("id", "_b").distinct().join(last, ["id", "_b"], "left")
-    earlier = Window.partitionBy("id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = all_.select("id", "_b", F.last("_v", True).over(earlier).alias("_s"))
+    all_ = cut_table(d.groupBy("id", "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("pos"))).alias("_v")))
+    if all_.count() > TASK_ROWS and block > 1:
+        starts = carry_forward(all_.select("id", F.col("_b").alias("pos"), "_v"), "_v", block, True).select("id", F.col("pos").alias("_b"), F.col("carried").alias("_s"))
+    else:
+        earlier = Window.partitionBy("id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = all_.select("id", "_b", F.last("_v", True).over(earlier).alias("_s"))
     here = Window.partitionBy("id", "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    return d.join(starts, ["id", "_b"]).withColumn("carried", F.coalesce(F.last(value, True).over(here), "_s")).drop("_b", "_s")
+    return d.join(starts, ["id", "_b"]).withColumn("carried", F.coalesce(F.last(value, True).over(here), "_s")).drop("_s"), n
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -41,11 +52,13 @@ def coverage_records(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     opens, closes = line.startswith("SF:"), line == "end_of_record"
     mark = F.when(opens, F.struct(F.col("pos").alias("at"), F.replace(F.substring(line, 4, 1 << 20), F.lit("\\"), F.lit("/")).alias("path"))).when(closes, F.struct(F.lit(-1).cast("long").alias("at"), F.lit("").alias("path")))
-    l = carry_forward(lines.where(opens | closes | line.startswith("DA:")).withColumn("mark", mark), "mark", before=True)
+    l, n = _carried(lines.where(opens | closes | line.startswith("DA:")).withColumn("mark", mark), "mark", BLOCK, True)
     l = l.withColumn("record", F.when(opens, F.col("mark")).otherwise(F.col("carried"))).where("record.at >= 0")
     count = F.coalesce(F.regexp_extract("line", "^DA:[^,]*,([0-9]+)$", 1).try_cast("decimal(38,0)"), F.lit(0))
     da = line.startswith("DA:")
-    g = l.groupBy("id", "record").agg(F.count_if(da).alias("found"), F.count_if(da & (count > 0)).alias("hit"), F.max(closes).alias("closed"))
+    # A record is counted in each of its blocks, where its lines are, and these counts are dealt.
+    g = l.groupBy("id", "_b", "record").agg(F.count_if(da).alias("found"), F.count_if(da & (count > 0)).alias("hit"), F.max(closes).alias("closed"))
+    g = dealt(g, n, "id", "record").groupBy("id", "record").agg(F.sum("found").alias("found"), F.sum("hit").alias("hit"), F.max("closed").alias("closed"))
     return g.where("closed").select("id", F.col("record.at").alias("pos"), F.col("record.path").alias("path"), F.col("found").alias("lines_found"), F.col("hit").alias("lines_hit"))
 
 

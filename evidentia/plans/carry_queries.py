@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import carry
+from ..operators.joins import dealt
 from ..sources.tables import table
 
 
@@ -17,7 +18,8 @@ def carried(s, d):
 def coverage(s, d):
     """Three reports with a record for each order, which is closed unless the order is; its line items are covered if there are many of the part."""
     o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 3).alias("id"), (F.col("o_orderkey") * 100).alias("base"))
-    l = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    l = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    l = dealt(l, l.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     lines = o.select("id", F.col("base").alias("pos"), F.concat(F.lit("SF:orders\\"), F.col("o_orderkey").cast("string")).alias("line"))
     hits = F.when(F.col("q") > 25, F.col("q").cast("int").cast("string")).otherwise("0")
     lines = lines.unionByName(l.select("id", (F.col("base") + F.col("l_linenumber") + 1).alias("pos"), F.concat(F.lit("DA:"), F.col("l_linenumber").cast("string"), F.lit(","), hits).alias("line")))
