@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -18,7 +19,9 @@ from .common import table
 
 #: Fixed value: how byte-level BPE vocabularies cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered per task; beyond it the memory starts afresh.
+#: Characters beyond two bytes; texts without them are cut by Python's own patterns, which take half the time.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+#: Words remembered per task; beyond it only those that are in use stay.
 REMEMBER = 150_000
 #: Characters of text that are cut and encoded together.
 PIECE = 4_000_000
@@ -33,6 +36,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
 
 
+def _class(name: str) -> str:
+    """The characters of two bytes that a class of regex's has, as ranges of a set in Python's patterns."""
+    runs = regex.finditer(f"{name}+", "".join(map(chr, range(1 << 16))))
+    return "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in runs)
+
+
+@lru_cache(maxsize=1)
+def _plain_words() -> re.Pattern:
+    """WORDS for texts of characters of two bytes."""
+    letters, numbers, blanks = _class(r"\p{L}"), _class(r"\p{N}"), _class(r"\s")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
 class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -56,7 +72,7 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = regex.compile(WORDS)
+        self.words, self.plain_words = regex.compile(WORDS), _plain_words()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place of each pair among the ranks, -1 if it never merges."""
@@ -66,14 +82,15 @@ class ByteBpe:
 
     def cut(self, text: str) -> list[str]:
         """Words in order; a special token is a one-tuple."""
+        words = self.words if ASTRAL.search(text) else self.plain_words
         if not self.split or not self.split.search(text):
-            return self.words.findall(text)
+            return words.findall(text)
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += self.words.findall(text[at : m.start()])
+            out += words.findall(text[at : m.start()])
             out.append((m.group(),))
             at = m.end()
-        return out + self.words.findall(text[at:])
+        return out + words.findall(text[at:])
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each word. All words lie in one chain; ranks are applied in ascending order to all of a pair's places.
@@ -173,9 +190,11 @@ def load(path: str) -> ByteBpe:
 def encode_texts(bpe: ByteBpe, texts: list[str], memory: dict, keep) -> list[list]:
     """The words of each text; memory (word -> what keep makes of its ids) then holds all of them."""
     cuts = [bpe.cut(t) for t in texts]
+    used = set().union(*cuts)
     if len(memory) > REMEMBER:
-        memory.clear()
-    fresh = list(set().union(*cuts) - memory.keys())
+        for w in memory.keys() - used:
+            del memory[w]
+    fresh = list(used - memory.keys())
     plain = [w for w in fresh if isinstance(w, str)]
     memory.update(zip(plain, map(keep, bpe.encode_words(plain))))
     memory.update({w: keep((bpe.special[w[0]],)) for w in fresh if not isinstance(w, str)})

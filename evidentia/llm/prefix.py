@@ -158,7 +158,18 @@ class PrefixBpe:
                 last[at, end], count[at, end] = token, count[at, start] + 1
         return count[:, 1:][inside]
 
-    def forget(self) -> None:
+    def forget(self, used: set = frozenset()) -> None:
+        """Forget all words but used ones."""
+        left = [w for w in self.known if w in used] if used else []
+        if left:
+            ids = np.array([self.known[w] for w in left])
+            sizes = self.sizes[ids]
+            at = np.cumsum(sizes) - sizes
+            self.counts = self.counts[np.repeat(self.starts[ids] - at, sizes) + np.arange(int(sizes.sum()))]
+            self.starts, self.sizes, self.totals = at, sizes, self.totals[ids]
+            self.blank, self.begins_blank = self.blank[ids], self.begins_blank[ids]
+            self.known = {w: k for k, w in enumerate(left)}
+            return
         self.known: dict = {}
         self.counts = np.zeros(0, np.int32)
         self.starts, self.sizes, self.totals = (np.zeros(0, np.int64) for _ in range(3))
@@ -205,9 +216,9 @@ class PrefixBpe:
     def prefix_counts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the token counts of its prefixes of 1, 2, ... characters."""
         cuts = [self.bpe.cut(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.forget()
         words = list(chain.from_iterable(cuts))
+        if len(self.known) > REMEMBER:
+            self.forget(set(words))
         specials = [k for k, w in enumerate(words) if isinstance(w, tuple)] if self.bpe.special else []
         plain = words.copy()
         for k in specials:
