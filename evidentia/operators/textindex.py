@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import matches_globs
-from .cuts import cut
+from .cuts import cut, cut_table
 from .joins import HOT
 from .source import matching_lines
 
@@ -19,6 +19,8 @@ from .source import matching_lines
 RAREST = 4
 #: Documents in one folder of texts, about, and the most folders there are.
 SHARD, SHARDS = 2_000, 4_096
+#: Documents whose grams leave a task together.
+LOT = 256
 
 
 @dataclass
@@ -39,9 +41,9 @@ def grams_of(text: str) -> np.ndarray:
 
 def _grams(batches):
     for pdf in batches:
-        for own, text in zip(pdf["id"].tolist(), pdf["text"].tolist()):
-            g = grams_of(text)
-            yield pd.DataFrame({"gram": g, "id": np.full(len(g), own, np.int64)})
+        for k in range(0, len(pdf), LOT):
+            own, g = pdf["id"].to_numpy()[k : k + LOT], [grams_of(t) for t in pdf["text"].tolist()[k : k + LOT]]
+            yield pd.DataFrame({"gram": np.concatenate(g), "id": np.repeat(own, [len(x) for x in g])})
 
 
 def build(docs: DataFrame, folder: str) -> TextIndex:
@@ -53,7 +55,8 @@ def build(docs: DataFrame, folder: str) -> TextIndex:
     d = docs.select(F.col("id").cast("long").alias("id"), "path", F.coalesce("text", F.lit("")).alias("text"))
     shards = max(1, min(SHARDS, d.count() // SHARD))
     d.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition("shard").write.partitionBy("shard").parquet(f"{folder}/texts")
-    found = d.select("id", "text").mapInPandas(_grams, "gram int, id long")
+    # Written as found, since dealing by range goes through its rows twice.
+    found = cut_table(d.select("id", "text").mapInPandas(_grams, "gram int, id long"))
     found.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{folder}/postings")
     spark = docs.sparkSession
     spark.read.parquet(f"{folder}/postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/grams")

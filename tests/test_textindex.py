@@ -2,6 +2,7 @@
 
 import re
 
+import pandas as pd
 import pytest
 
 from evidentia.operators import textindex
@@ -42,3 +43,11 @@ def test_pages_globs_and_budget(index):
     assert [(r["path"], r["id"], r["line_no"]) for r in got] == want[:5] and got[0]["truncated"] and got[0]["matching_lines"] == len(want) and "\n" in got[0]["context"]
     small = textindex.search(index, "alpha", most=40, budget=20).collect()
     assert sum(len(r["context"].encode()) for r in small) <= 80 and 0 < len(small) < 40 and small[0]["truncated"]
+
+
+def test_grams_leave_a_task_in_lots():
+    """Not one small table for each document."""
+    n = textindex.LOT + 10
+    out = list(textindex._grams([pd.DataFrame({"id": range(n), "text": ["abcd"] * (n - 1) + [""]})]))
+    assert len(out) == 2 and sum(map(len, out)) == 2 * (n - 1)
+    assert set(zip(out[1]["id"], out[1]["gram"])) == {(i, g) for i in range(textindex.LOT, n - 1) for g in (0x616263, 0x626364)}
