@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, islice
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,14 @@ PAIRS = 1 << 20
 NEVER = 1 << 60
 
 
+class Numbers(dict):
+    """Word -> its number; a word that is asked for the first time gets the next one."""
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class PrefixBpe:
     """Token counts of all prefixes of words, each worked out once.
 
@@ -158,89 +166,100 @@ class PrefixBpe:
                 last[at, end], count[at, end] = token, count[at, start] + 1
         return count[:, 1:][inside]
 
-    def forget(self, used: set = frozenset()) -> None:
-        """Forget all words but used ones."""
-        left = [w for w in self.known if w in used] if used else []
-        if left:
-            ids = np.array([self.known[w] for w in left])
-            sizes = self.sizes[ids]
-            at = np.cumsum(sizes) - sizes
-            self.counts = self.counts[np.repeat(self.starts[ids] - at, sizes) + np.arange(int(sizes.sum()))]
-            self.starts, self.sizes, self.totals = at, sizes, self.totals[ids]
-            self.blank, self.begins_blank = self.blank[ids], self.begins_blank[ids]
-            self.known = {w: k for k, w in enumerate(left)}
-            return
-        self.known: dict = {}
+    def forget(self) -> None:
+        """Forget all words."""
+        self.known = Numbers()
         self.counts = np.zeros(0, np.int32)
-        self.starts, self.sizes, self.totals = (np.zeros(0, np.int64) for _ in range(3))
-        self.blank, self.begins_blank = np.zeros(0, bool), np.zeros(0, bool)
-
-    def learn(self, words: list[str]) -> None:
-        """Work out the counts of all prefixes, in characters, of words that are not known."""
-        words = [w for w in dict.fromkeys(words) if w not in self.known]
-        if not words:
+        self.starts, self.sizes, self.totals = (np.zeros(0, np.int32) for _ in range(3))
+        self.blank, self.begins_blank, self.special = (np.zeros(0, bool) for _ in range(3))
+
+    def _keep(self, ids: np.ndarray) -> np.ndarray:
+        """Forget all words but those numbered in ids; returns their new numbers."""
+        used = np.zeros(len(self.known), bool)
+        used[ids] = True
+        self.known = Numbers(zip(compress(self.known, used.tolist()), range(len(used))))
+        old = np.flatnonzero(used[: len(self.sizes)])
+        sizes = self.sizes[old]
+        at = np.cumsum(sizes, dtype=np.int32) - sizes
+        self.counts = self.counts[np.repeat(self.starts[old] - at, sizes) + np.arange(int(sizes.sum()), dtype=np.int32)]
+        self.starts, self.sizes, self.totals = at, sizes, self.totals[old]
+        self.blank, self.begins_blank, self.special = self.blank[old], self.begins_blank[old], self.special[old]
+        return (np.cumsum(used, dtype=np.int32) - 1)[ids]
+
+    def numbers(self, words, n: int) -> np.ndarray:
+        """The number of each of n words, with new numbers for new ones; learn() then works those out."""
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, n)
+
+    def learn(self) -> None:
+        """Work out the counts of all prefixes, in characters, of words that have a number only. A special token has one count at each place, put right where it stands."""
+        new = list(islice(reversed(self.known), len(self.known) - len(self.sizes)))[::-1]
+        if not new:
             return
+        special = np.array([isinstance(w, tuple) for w in new])
+        words = [w[0] if isinstance(w, tuple) else w for w in new]
         data = [w.encode("utf-8", "replace") for w in words]
-        order = sorted(range(len(words)), key=lambda k: -len(data[k]))
-        words, data = [words[k] for k in order], [data[k] for k in order]
-        n_long = next((k for k, w in enumerate(data) if len(w) <= SHORT), len(data))
-        parts = [self._count_long(w) for w in data[:n_long]]
-        for k in range(n_long, len(data), TOGETHER):
-            parts.append(self._count_short(data[k : k + TOGETHER]))
-        raw = np.frombuffer(b"".join(data) + b"\x00", np.uint8)
+        lengths = np.array(list(map(len, data)))
+        order = np.argsort(-lengths, kind="stable")
+        by_length = list(map(data.__getitem__, order.tolist()))
+        n_long = int((lengths > SHORT).sum())
+        parts = [self._count_long(w) for w in by_length[:n_long]]
+        for k in range(n_long, len(by_length), TOGETHER):
+            parts.append(self._count_short(by_length[k : k + TOGETHER]))
+        raw = np.frombuffer(b"".join(by_length) + b"\x00", np.uint8)
         # Counts at the ends of characters: before a byte that does not go on with one.
-        new = np.concatenate(parts)[(raw[1:] & 0xC0) != 0x80]
-        sizes = np.array([len(w) for w in words])
-        starts = np.cumsum(sizes) - sizes
-        totals = new[starts + sizes - 1]
-        for k, w in enumerate(words):
-            self.known[w] = len(self.sizes) + k
-            if w in LONG_CONTRACTIONS:
-                new[starts[k] + 1] = 2
-        self.starts = np.concatenate([self.starts, starts + len(self.counts)])
-        self.counts = np.concatenate([self.counts, new])
-        self.sizes, self.totals = np.concatenate([self.sizes, sizes]), np.concatenate([self.totals, totals])
-        begins = [w[0].isspace() and bool(BLANK.match(w)) for w in words]
-        self.begins_blank = np.concatenate([self.begins_blank, begins])
-        self.blank = np.concatenate([self.blank, [b and bool(BLANK.fullmatch(w)) for w, b in zip(words, begins)]])
-
-    def total(self, word) -> int:
-        return 1 if isinstance(word, tuple) else int(self.totals[self.known[word]])
+        counts = np.concatenate(parts)[(raw[1:] & 0xC0) != 0x80]
+        sizes = np.array(list(map(len, words)), np.int32)
+        starts = np.empty(len(words), np.int32)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        totals = counts[starts + sizes - 1]
+        totals[special] = 1
+        for w in LONG_CONTRACTIONS:
+            if self.known.get(w, -1) >= len(self.sizes):
+                counts[starts[self.known[w] - len(self.sizes)] + 1] = 2
+        begins = np.array([w[0].isspace() and bool(BLANK.match(w)) for w in words])
+        # A word whose second character is no white space is no run of it.
+        blank = np.array([b and (len(w) == 1 or w[1].isspace()) and bool(BLANK.fullmatch(w)) for w, b in zip(words, begins.tolist())])
+        self.starts = np.concatenate([self.starts, starts + len(self.counts)], dtype=np.int32)
+        self.counts, self.sizes, self.totals = np.concatenate([self.counts, counts]), np.concatenate([self.sizes, sizes]), np.concatenate([self.totals, totals])
+        self.begins_blank, self.blank, self.special = (np.concatenate(x) for x in ((self.begins_blank, begins), (self.blank, blank), (self.special, special)))
+
+    def _totals(self, words: list) -> list[int]:
+        ids = self.numbers(words, len(words))
+        self.learn()
+        return self.totals[ids].tolist()
 
     def _within_special(self, back: str, special: str) -> list[int]:
         """Counts of the text from the word before a special token on, at each end within the token: its string is plain text there."""
         cuts = [self.bpe.cut(back + special[:k]) for k in range(1, len(special))]
-        self.learn([w for c in cuts for w in c if isinstance(w, str)])
-        return [sum(map(self.total, c)) for c in cuts]
+        return [sum(self._totals(c)) for c in cuts]
 
     def prefix_counts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the token counts of its prefixes of 1, 2, ... characters."""
         cuts = [self.bpe.cut(t) for t in texts]
-        words = list(chain.from_iterable(cuts))
-        if len(self.known) > REMEMBER:
-            self.forget(set(words))
-        specials = [k for k, w in enumerate(words) if isinstance(w, tuple)] if self.bpe.special else []
-        plain = words.copy()
-        for k in specials:
-            plain[k] = words[k][0]  # known for its size; its counts are put right below
-        self.learn(plain)
-        ids = np.array(list(map(self.known.__getitem__, plain)), np.int64)
-        sizes, totals = self.sizes[ids], self.totals[ids]
-        totals[specials] = 1
         n = np.array([len(c) for c in cuts])
+        full = len(self.known) > REMEMBER
+        ids = self.numbers(chain.from_iterable(cuts), int(n.sum()))
+        if full:
+            ids = self._keep(ids)
+        self.learn()
+        sizes, totals = self.sizes[ids], self.totals[ids]
+        specials = np.flatnonzero(self.special[ids]).tolist() if self.bpe.special else []
         first = np.repeat(np.cumsum(n) - n, n)  # of each word, the first word of its text
-        at, ahead = np.cumsum(sizes) - sizes, np.cumsum(totals) - totals
+        # A lot's places are fewer than 2**31, so that half as much is moved.
+        at, ahead = np.cumsum(sizes, dtype=np.int32) - sizes, np.cumsum(totals, dtype=np.int32) - totals
         ahead -= ahead[first]  # tokens of the text before each word
-        out = self.counts[np.repeat(self.starts[ids] - at, sizes) + np.arange(int(sizes.sum()))]
-        out += np.repeat(ahead.astype(np.int32), sizes)
+        where = np.repeat(self.starts[ids] - at, sizes)
+        where += np.arange(len(where), dtype=np.int32)
+        out = self.counts[where]
+        out += np.repeat(ahead, sizes)
         # White space before a word stands in two words, its last character apart; a text that ends there has it in one.
         split = np.flatnonzero(self.blank[ids[:-1]] & self.begins_blank[ids[1:]] & (first[:-1] == first[1:]))
+        words = list(chain.from_iterable(cuts)) if len(split) or specials else []
         if len(split):
-            runs = [plain[k] + plain[k + 1][0] for k in split.tolist()]
-            self.learn(runs)
-            out[at[split + 1]] = ahead[split] + self.totals[[self.known[r] for r in runs]]
+            text = lambda k: words[k] if isinstance(words[k], str) else words[k][0]
+            out[at[split + 1]] = ahead[split] + self._totals([text(k) + text(k + 1)[0] for k in split.tolist()])
         for k in specials:
-            own, start = plain[k], int(at[k])
+            own, start = words[k][0], int(at[k])
             back = words[k - 1] if k > first[k] and isinstance(words[k - 1], str) else ""
             base = int(ahead[k] - totals[k - 1]) if back else int(ahead[k])
             out[start : start + len(own) - 1] = np.array(self._within_special(back, own)) + base

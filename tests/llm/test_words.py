@@ -33,3 +33,22 @@ def test_words_in_use_are_not_forgotten(monkeypatch):
         got = counts.prefix_counts([text])[0].tolist()
         assert got == [len([i for w in made.cut(text[:k]) for i in encode([w])[0]]) for k in range(1, len(text) + 1)]
     assert set(counts.known) >= {"so"} and "one" not in counts.known
+
+
+def test_words_are_looked_up_once_a_lot(monkeypatch):
+    asked = []
+
+    class Word(str):
+        def __hash__(self):
+            asked.append(str(self))
+            return super().__hash__()
+
+    counts = prefix.PrefixBpe(PATH)
+    text = "one two two<|endoftext|> two \n two"
+    want = [c.tolist() for c in counts.prefix_counts([text, "", text])]
+    cut = counts.bpe.cut
+    monkeypatch.setattr(counts.bpe, "cut", lambda t: [w if isinstance(w, tuple) else Word(w) for w in cut(t)])
+    got = counts.prefix_counts([text, "", text])
+    assert [c.tolist() for c in got] == want and got[1].tolist() == []
+    asked.clear()
+    assert len(counts.prefix_counts(["one two two two"])[0]) == 15 and sorted(asked) == sorted(["one", " two", " two", " two"])
