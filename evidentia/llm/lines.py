@@ -29,38 +29,40 @@ def _lines(docs: DataFrame) -> DataFrame:
     return d.withColumns({"key": F.xxhash64("t"), "pos": F.expr(PLACE)})
 
 
-def _rarity(lines: DataFrame):
-    """Function of a token hash: its place in the order by rarity, a long: eight bits for its slot's count (eighths of log2, about the mean), then its hash."""
+def _rarity(lines: DataFrame) -> DataFrame:
+    """One row of SLOTS / 8 longs: eight bits for each hash slot's count of tokens (eighths of log2, about the mean)."""
     words = lines.select(F.explode(words_of("t")).alias("w")).where("w <> ''")
     slots = cut(words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("k")).agg(F.count("*").alias("n")))
     mean = (slots.agg(F.sum("n")).first()[0] or 1) / SLOTS
     level = F.least(F.lit(255), F.greatest(F.lit(0), F.round(8 * F.log2(F.col("n") / mean)) + 128)).cast("long")
     packed = slots.select("k", level.alias("e")).groupBy(F.expr("k div 8").alias("at")).agg(F.expr("bit_or(shiftleft(e, (k % 8) * 8))").alias("bits"))
-    seen = {r["at"]: r["bits"] for r in packed.collect()}  # SLOTS / 8 rows at most
-    levels = F.split(F.lit(",".join(str(seen.get(k, 0)) for k in range(SLOTS // 8))), ",").cast("array<long>")
+    every = lines.sparkSession.range(SLOTS // 8).select(F.col("id").alias("at")).join(F.broadcast(packed), "at", "left")
+    # It is asked for by a subquery, as the driver keeps several texts of each plan, and so of what is written into one.
+    return cut(every.agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))["bits"].alias("levels")))
 
-    def rank(w: Column) -> Column:
+
+def _sets(lines: DataFrame, levels: DataFrame) -> DataFrame:
+    """(key, o): distinct ranks of each text's tokens, rarest first; a rank is eight bits for the level of the token's slot, then the token's hash."""
+
+    def rank(w: Column, table: Column) -> Column:
         slot = w.bitwiseAND(SLOTS - 1)
-        bits = F.coalesce(F.get(levels, F.shiftright(slot, 3).cast("int")), F.lit(0).cast("long"))
+        bits = F.get(table, F.shiftright(slot, 3).cast("int"))
         e = F.call_function("shiftright", bits, (slot.bitwiseAND(7) * 8).cast("int")).bitwiseAND(255)
         return F.shiftleft(e, 55).bitwiseOR(F.shiftrightunsigned(w, 9))
 
-    return rank
-
-
-def _sets(rank):
-    """Distinct ranks of a text's tokens, rarest first."""
-    none = rank(F.xxhash64(F.lit("")))
-    return F.sort_array(F.array_distinct(F.array_remove(F.transform(F.transform(words_of("t"), lambda w: F.xxhash64(w)), rank), none)))
+    words = F.transform(F.array_remove(words_of("t"), ""), lambda w: F.xxhash64(w))
+    ranks = F.transform(F.array(F.struct(words.alias("w"), F.col("levels").alias("l"))), lambda x: F.transform(x["w"], lambda w: rank(w, x["l"])))[0]
+    # Columns of their own, as a subquery may not stand in a transform, and then through explode, so that the set is made once and not for each use.
+    made = lines.withColumn("levels", levels.scalar()).select("key", F.sort_array(F.array_distinct(ranks)).alias("o"))
+    return made.select("key", F.explode(F.array("o")).alias("o"))
 
 
-def _index(lines: DataFrame, rank, percent: int) -> DataFrame:
+def _index(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
     """(c, key, s) per line and prefix token: c packs token, set size and position in 32, 16 and 16 bits; s is the set's parity sketch.
 
     Bit b of s tells whether an odd number of tokens hash to b, so two sets differ in as many tokens as sketches in bits, at least.
     """
-    # Through explode, so that the set is made once and not again for each use.
-    sets = lines.select("key", F.explode(F.array(_sets(rank))).alias("o"))
+    sets = _sets(lines, levels)
     sketch = F.expr("aggregate(o, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))")
     sets = sets.withColumns({"n": F.size("o"), "s": sketch}).where("n > 0")
     # Sets too short to be similar to any but equal ones have one entry, for the whole set.
@@ -109,15 +111,15 @@ def _later(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     total = classes.agg(F.sum("copies")).first()[0] or 0
     common = classes.where((F.col("copies") > total / COMMON) & (F.col("copies") > 1)).select("key", F.col("first").alias("only"))  # fewer than COMMON
     once = lines.join(F.broadcast(common), "key", "left").where("only is null or only = pos").drop("only")
-    rank = _rarity(lines)
-    index = _index(once, rank, percent)
+    levels = _rarity(lines)
+    index = _index(once, levels, percent)
     # First, entries that meet any that may be similar, once each, however many they meet; both sides read one exchange.
     x, y = index.alias("x"), index.alias("y")
     met = x.join(y, F.expr(f"{TOKEN.format('x')} = {TOKEN.format('y')} and x.key <> y.key and {_near(percent)}"), "left_semi").distinct()
     met = cut_table(met)
     firsts = cut(classes.join(small(cut(met.select("key").distinct())), "key", "left_semi").select("key", "first"))
     # Their sets, one row for each text.
-    sets = lines.join(small(firsts.withColumnRenamed("first", "pos")), ["key", "pos"], "left_semi").select("key", F.explode(F.array(_sets(rank))).alias("o"))
+    sets = _sets(lines.join(small(firsts.withColumnRenamed("first", "pos")), ["key", "pos"], "left_semi"), levels)
     sets = cut_table(sets.select("key", F.size("o").alias("n"), F.expr(_wide("o")).alias("wide"), "o"))
     # Long sets often pass the short sketch by chance; with the wide one, entries meet once more, and only near ones stay.
     facts = cut(firsts.join(sets.select("key", "n", "wide"), "key"))

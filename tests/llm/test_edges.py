@@ -150,3 +150,12 @@ def test_many_small_pieces_are_tried_one_by_one():
         held.setdefault(k, []).append(n)
     assert all(sum(v) <= 512 for v in held.values()) and sum(map(len, held.values())) == 401
     assert packing.pack_lengths([0] * 5_000 + [1] * 5, (4, 8))[-1][0] == 0
+
+
+def test_no_plan_of_line_dedup_holds_the_table_of_rarity(spark):
+    lines_ = lines._lines(spark.createDataFrame([(1, "a b c\nd e f g"), (2, "a b c\nd e")], "id long, text string"))
+    index = lines._index(lines_, lines._rarity(lines_), 80)
+    both = index.alias("x").join(index.alias("y"), F.expr(f"x.c = y.c and x.key <> y.key and {lines._near(80)}"), "left_semi")
+    both.collect()
+    told = both._jdf.queryExecution().toString()
+    assert len(told) < 100_000 and "ReusedExchange" in told and "array_distinct(" not in "".join(x for x in told.split("\n") if "Filter" in x)
