@@ -27,8 +27,9 @@ SECRET = r"(?<![A-Za-z0-9+=])(?=[A-Za-z+=]*+[0-9])(?=[0-9+=]*+[A-Za-z])[A-Za-z0-
 SLOTS = 65_536
 #: Arrays are summed in blocks of this many.
 BLOCK = 256
-#: A first count of terms is over one in so many texts; all terms that it does not rule out are counted over all.
-PART = 16
+#: Terms are counted over one in so many texts first: all terms in the first lot, which so grows as the texts do, then those that it does
+#: not rule out in the second; all terms that neither rules out are counted over all texts.
+PARTS = (64, 16)
 
 
 def _let(value: Column, body) -> Column:
@@ -137,7 +138,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, di
     min_support texts, or log2(N) / 2 if that is more, as rare terms meet by chance.
 
     PMI >= disclosure * IC is N_t <= N_et * (N / N_e)^(1 - disclosure). Counts over part of the texts (those with spans, then one
-    in PART of all) are no more than N_t, so terms that cannot pass go before N_t itself is counted; none that can is lost.
+    in PARTS of all) are no more than N_t, so terms that cannot pass go before N_t itself is counted; none that can is lost.
     """
     none = docs.select(F.lit("").alias("term")).limit(0)
     size = found.agg(F.count_distinct("h")).first()[0]
@@ -157,11 +158,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, di
     near = around.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= support)
     pairs = cut(n_et.withColumn("most", most).join(near, "term").where("n_near <= most").drop("n_near"))
     h = F.xxhash64("text")
-    slots = _slots(pairs.select("term"))
-    some = docs.where(F.pmod(h, F.lit(PART)) == 0).select(h.alias("h"), F.explode(F.filter(_words(F.col("text")), slots)).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_some"))
-    pairs = cut(pairs.join(some, "term", "left").where("n_some is null or n_some <= most").drop("n_some"))
-    slots = _slots(pairs.select("term"))
-    words = docs.select(h.alias("h"), F.explode(F.filter(_words(F.col("text")), slots)).alias("term")).distinct()
+    words = lambda texts, terms: texts.select(h.alias("h"), F.explode(terms).alias("term")).distinct()
+    for part in PARTS:
+        listed = _words(F.col("text"))
+        # A common word is a candidate beside many entities, so candidates in the first lot would be rows beyond the texts' growth.
+        terms = listed if part == PARTS[0] else F.filter(listed, _slots(pairs.select("term")))
+        some = words(docs.where(F.pmod(h, F.lit(part)) == 0), terms).groupBy("term").agg(F.count("*").alias("n_some"))
+        pairs = cut(pairs.join(some, "term", "left").where("n_some is null or n_some <= most").drop("n_some"))
+    words = words(docs, F.filter(_words(F.col("text")), _slots(pairs.select("term"))))
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
     pmi, ic = F.log2(size * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), -F.log2(F.col("n_e") / size)
     return pairs.join(n_t, "term").where(pmi >= disclosure * ic).select("term").distinct()

@@ -159,3 +159,12 @@ def test_no_plan_of_line_dedup_holds_the_table_of_rarity(spark):
     both.collect()
     told = both._jdf.queryExecution().toString()
     assert len(told) < 100_000 and "ReusedExchange" in told and "array_distinct(" not in "".join(x for x in told.split("\n") if "Filter" in x)
+
+
+def test_common_words_are_no_candidates_over_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PARTS", (2, 16), raising=False)
+    tried, slots = [], pii._slots
+    monkeypatch.setattr(pii, "_slots", lambda terms: tried.append({r["term"] for r in terms.distinct().collect()}) or slots(terms))
+    rows = [(k, f"common w{k}" + " secretive a@b.cd" * (k < 40)) for k in range(800)]
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[1] == ["email", "term"] and spans[700] == [] and "secretive" in tried[0] and not any("common" in t for t in tried)
