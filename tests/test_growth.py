@@ -79,6 +79,24 @@ def test_transport_hops_form_a_pair_once(spark, monkeypatch, wide, bits):
         assert most_rows(spark, since) <= len(want)
 
 
+def test_transport_hops_meet_in_squares(spark, monkeypatch):
+    """All publishers meet all consumers by a compiled hash join, a bounded number of either in a task, not row by row in a product."""
+    monkeypatch.setattr(flow, "SIDE", 16)
+    p = spark.range(100).selectExpr("concat('u', id) AS id", "CAST(id % 3 AS string) AS channel")
+    c = spark.range(50, 120).selectExpr("concat('u', id) AS id", "CAST(id % 3 AS string) AS channel")
+    since = last_run(spark)
+    out = flow.transport_hops(p, c)
+    got = [tuple(r) for r in out.collect()]
+    want = {(f"u{a}", f"u{b}") for a in range(100) for b in range(50, 120) if a % 3 == b % 3 and a != b}
+    assert len(got) == len(want) and set(got) == want
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.planGraph(run).allNodes() for run in range(since + 1, last_run(spark) + 1)]
+    names = {nodes.apply(j).name() for nodes in plans for j in range(nodes.length())}
+    assert not any(n.startswith("CartesianProduct") for n in names) and any(n.startswith("ShuffledHashJoin") for n in names)
+    sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(n > 0 for n in sizes) > 10 and max(sizes) < len(want) // 3
+
+
 def test_edges_are_made_distinct_in_tasks_of_bounded_rows(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     want = graphs.fk_edges(spark, sf).collect()
