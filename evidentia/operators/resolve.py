@@ -107,12 +107,59 @@ def forwarded(entries: DataFrame, forwards: DataFrame, depth: int = 4, most: int
     return out if out is not None else front.limit(0)
 
 
+#: A name that more files define, or a file that imports more, is not listed in one row; imports of all files that are listed.
+LIST, LISTED = 256, 500_000
+
+
 def _definitions(symbols: DataFrame) -> DataFrame:
-    """(path, name, any, call): the one symbol of a file's name, and the one that a call may mean; null where there are several."""
-    callable_ = F.col("kind").isin(*CALLABLE)
-    g = symbols.groupBy("path", "name").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.count_if(callable_).alias("m"), F.min(F.when(callable_, F.col("id"))).alias("c"))
+    """(path, name, any, call, method): the one symbol of a file's name, the one that a call may mean, and the one method; null where there are several."""
+    callable_, method = F.col("kind").isin(*CALLABLE), F.col("kind") == "method"
+    g = symbols.groupBy("path", "name").agg(
+        F.count("*").alias("n"), F.min("id").alias("id"), F.count_if(callable_).alias("m"), F.min(F.when(callable_, F.col("id"))).alias("c"), F.count_if(method).alias("k"), F.min(F.when(method, F.col("id"))).alias("method")
+    )
     only = F.when(F.col("n") == 1, F.col("id"))
-    return g.select("path", "name", only.alias("any"), F.coalesce(only, F.when(F.col("m") == 1, F.col("c"))).alias("call"))
+    return g.select("path", "name", only.alias("any"), F.coalesce(only, F.when(F.col("m") == 1, F.col("c"))).alias("call"), F.when(F.col("k") == 1, F.col("method")).alias("method"))
+
+
+def _bound(bindings: DataFrame, defined: DataFrame) -> DataFrame:
+    """(path, name, direct, through): what a file's name is bound to, directly and through re-exports, for uses (any) and for calls (call).
+
+    Each is the least and the greatest target and whether there are more. Rows meet in tasks before they are exchanged: bits of hashes that
+    neither of the two has show that there are more; where none does, targets are counted.
+    """
+    keys, there = ["path", "name", "forwarded"], defined.select(F.col("path").alias("target_path"), F.col("name").alias("imported"), "any", "call")
+    b = bindings.select("path", F.col("local").alias("name"), "target_path", "imported", "forwarded").where("forwarded is not null")
+    hashed = lambda x: F.xxhash64(F.col(x))
+    bits = lambda x: F.when(F.col(x).isNotNull(), hashed(x))
+    some = [f(x).alias(f"{x}_{n}") for x in ("any", "call") for n, f in (("low", F.min), ("high", F.max), ("n", F.count), ("or", lambda x: F.bit_or(bits(x))), ("and", lambda x: F.bit_and(bits(x))))]
+    g = cut_table(b.join(there, ["target_path", "imported"]).where("any is not null or call is not null").groupBy(*keys).agg(*some))
+    shown = lambda x: (F.col(f"{x}_or") != hashed(f"{x}_low").bitwiseOR(hashed(f"{x}_high"))) | (F.col(f"{x}_and") != hashed(f"{x}_low").bitwiseAND(hashed(f"{x}_high")))
+    open_ = lambda x: (F.col(f"{x}_n") > 2) & (F.col(f"{x}_low") != F.col(f"{x}_high")) & ~shown(x)
+    more = {x: F.coalesce(shown(x), F.lit(False)) for x in ("any", "call")}
+    asked = cut_table(g.where(open_("any") | open_("call")).select(*keys))
+    if not asked.isEmpty():
+        counted = b.join(asked, keys, "left_semi").join(there, ["target_path", "imported"]).groupBy(*keys).agg(*[(F.count_distinct(x) > 2).alias(f"{x}_more") for x in more])
+        g = g.join(cut_table(counted), keys, "left")
+        more = {x: F.coalesce(f"{x}_more", c) for x, c in more.items()}
+    g = g.select(*keys, F.struct(*[F.struct(F.col(f"{x}_low").alias("low"), F.col(f"{x}_high").alias("high"), c.alias("more")).alias(x) for x, c in more.items()]).alias("to"))
+    return cut_table(g.groupBy("path", "name").agg(F.max(F.when(~F.col("forwarded"), F.col("to"))).alias("direct"), F.max(F.when(F.col("forwarded"), F.col("to"))).alias("through")))
+
+
+def _unlisted(refs: DataFrame, defined: DataFrame, imports: DataFrame, common: DataFrame, far: DataFrame) -> DataFrame:
+    """(path, name, own, seen) of the names that refs ask for and that many files define, or in files that import many: row by row.
+
+    Each goes the way that has fewer rows: through the files that its file imports, or those that define the name. own is the file's
+    definition; seen, for uses (any) and calls (call), the number of targets in imported files, the least and the greatest.
+    """
+    asked = refs.select("path", "name").where("path is not null and name is not null").distinct()
+    asked = cut_table(asked.join(common, "name", "left_semi").unionByName(asked.join(far, "path", "left_semi")).distinct())
+    sized = asked.join(defined.groupBy("name").agg(F.count("*").alias("files")), "name").join(imports.groupBy("path").agg(F.count("*").alias("paths")), "path")
+    sized, defining = cut_table(sized), defined.select(F.col("path").alias("target_path"), "name", "any", "call")
+    seen = sized.where("paths <= files").join(imports, "path").join(defining, ["target_path", "name"])
+    seen = seen.unionByName(sized.where("paths > files").join(defining, "name").join(imports, ["path", "target_path"]))
+    seen = seen.groupBy("path", "name").agg(F.struct(*[F.struct(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).alias(x) for x in ("any", "call")]).alias("seen"))
+    own = asked.join(defined, ["path", "name"]).select("path", "name", F.struct("path", "any", "call", "method").alias("own"))
+    return cut_table(asked.join(own, ["path", "name"], "left").join(seen, ["path", "name"], "left").withColumn("unlisted", F.lit(True)))
 
 
 def resolve_references(refs: DataFrame, symbols: DataFrame, bindings: DataFrame, imported: DataFrame) -> DataFrame:
@@ -126,56 +173,60 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, bindings: DataFrame,
     * repository: one symbol of the language has the name; not for scripts.
     Qualified names of scripts mean nothing here; in Rust, after `self`, the file's one method of that name (self_method), else nothing.
     What is left has a null target and the stage unresolved or refused. symbols(id, path, name, kind, language).
+
+    refs are not written, and exchanged once, by name: a name's row lists the files that define it, so all stages are told in place.
     """
     script, rust = F.col("language").isin(*SCRIPTS), F.col("language") == "rust"
     qualified = F.coalesce("qualified", F.lit(False))
-    calls = F.col("kind") == "calls"
-    r = cut_table(refs.select("ref", "path", "name", "language", "kind", "source", F.when(qualified & (script | rust), F.when(rust & (F.col("receiver") == "self"), "method").otherwise("refused")).otherwise("plain").alias("way")))
-    defined = cut_table(_definitions(symbols))
-    picked = F.when(calls, F.col("call")).otherwise(F.col("any"))
-    plain = r.where("way = 'plain'")
-
-    self_method = r.where("way = 'method'").join(symbols.where("kind = 'method'").groupBy("path", "name").agg(F.count("*").alias("n"), F.min("id").alias("target")).where("n = 1").drop("n"), ["path", "name"]).select("ref", "target", F.lit("self_method").alias("stage"))
-
-    own = plain.join(defined, ["path", "name"]).withColumn("target", picked).where(F.col("target").isNotNull() & (calls | ~F.col("target").eqNullSafe(F.col("source")))).select("ref", "target", F.lit("own_file").alias("stage"))
-    left = cut_table(plain.join(own.select("ref"), "ref", "left_anti"))
-
-    # What a file's name is bound to is the same for all its references but for their sources, so it is settled once: number, least and greatest of the targets.
-    ways = F.explode(F.array(F.struct(F.lit(True).alias("calls"), F.col("call").alias("target")), F.struct(F.lit(False).alias("calls"), F.col("any").alias("target")))).alias("x")
-    b = bindings.select("path", F.col("local").alias("name"), "target_path", "imported", "forwarded").join(left.select("path", "name").distinct(), ["path", "name"], "left_semi").distinct()
-    there = defined.select(F.col("path").alias("target_path"), F.col("name").alias("imported"), "any", "call")
-    meant = b.join(there, ["target_path", "imported"]).select("path", "name", "forwarded", ways).select("path", "name", "forwarded", "x.*").where("target is not null").distinct()
-    side = lambda on, x: [F.count_if(on).alias(f"{x}n"), F.min(F.when(on, F.col("target"))).alias(f"{x}0"), F.max(F.when(on, F.col("target"))).alias(f"{x}1")]
-    meant = cut_table(meant.groupBy("path", "name", "calls").agg(*side(~F.col("forwarded"), "d"), *side(F.col("forwarded"), "f")))
-    own_ = lambda x: F.col(x).eqNullSafe(F.col("source"))
-    # A reference's own source is no target; of what else there is, one is the target.
-    some = lambda x: (F.col(f"{x}n") > 1) | ((F.col(f"{x}n") == 1) & ~own_(f"{x}0"))
-    only = lambda x: F.when(F.col(f"{x}n") == 1, F.col(f"{x}0")).when((F.col(f"{x}n") == 2) & own_(f"{x}0"), F.col(f"{x}1")).when((F.col(f"{x}n") == 2) & own_(f"{x}1"), F.col(f"{x}0"))
-    target = F.when(some("d"), only("d")).when(some("f"), only("f"))
-    bound = left.withColumn("calls", calls).join(meant, ["path", "name", "calls"]).select("ref", target.alias("target"), F.lit("import_binding").alias("stage")).where("target is not null")
-    left = cut_table(left.join(bound.select("ref"), "ref", "left_anti"))
-
-    # Names that no file defines, or that the file has asked before, are not carried to its imports again.
-    # Each goes the way that has fewer rows: through the files that its file imports, or those that define the name.
-    imports, defining = cut_table(imported.select("path", "target_path").distinct()), defined.withColumnRenamed("path", "target_path")
-    asked = left.select("path", "name", calls.alias("calls")).distinct().join(defined.groupBy("name").agg(F.count("*").alias("files")), "name")
-    asked = cut_table(asked.join(imports.groupBy("path").agg(F.count("*").alias("paths")), "path"))
-    seen = asked.where("paths <= files").join(imports, "path").join(defining, ["target_path", "name"])
-    seen = seen.unionByName(asked.where("paths > files").join(defining, "name").join(imports, ["path", "target_path"]))
-    seen = seen.withColumn("target", F.when(F.col("calls"), F.col("call")).otherwise(F.col("any"))).where("target is not null").groupBy("path", "name", "calls").agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high"))
-    j = left.withColumn("calls", calls).join(seen, ["path", "name", "calls"])
-    other = F.when(F.col("low").eqNullSafe(F.col("source")), F.col("high")).when(F.col("high").eqNullSafe(F.col("source")), F.col("low"))
-    # A symbol has one file, so targets of several files differ; the source itself is no target.
-    one = F.when((F.col("n") == 1) & ~F.col("low").eqNullSafe(F.col("source")), F.col("low")).when(F.col("n") == 2, other)
-    by_file = j.select("ref", one.alias("target"), F.lit("imported_file").alias("stage")).where("target is not null")
-    left = cut_table(left.join(by_file.select("ref"), "ref", "left_anti").where(~F.col("language").isin(*SCRIPTS)))
+    way = F.when(qualified & (script | rust), F.when(rust & (F.col("receiver") == "self"), "method").otherwise("refused")).otherwise("plain")
+    r = refs.select("ref", "path", "name", "language", F.coalesce(F.col("kind") == "calls", F.lit(False)).alias("calls"), "source", way.alias("way"))
 
+    defined = cut_table(_definitions(symbols))
+    common = cut_table(defined.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > LIST).select("name"))
+    files = defined.join(common, "name", "left_anti").groupBy("name").agg(F.collect_list(F.struct("path", "any", "call", "method")).alias("files"))
     whole = symbols.groupBy("language", "name").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n <= 2")
-    named = left.withColumn("k", F.concat_ws("\0", "language", "name"))
-    j = spread(cut_table(named), whole.select(F.concat_ws("\0", "language", "name").alias("k"), "n", "low", "high"), "k")
-    mine = F.col("low").eqNullSafe(F.col("source")) | F.col("high").eqNullSafe(F.col("source"))
-    one = F.when((F.col("n") == 1) & (calls | ~mine), F.col("low")).when((F.col("n") == 2) & ~calls, other)
-    unique = j.select("ref", one.alias("target"), F.lit("repository").alias("stage")).where("target is not null")
-
-    found = reduce(DataFrame.unionByName, [self_method, own, bound, by_file, unique])
-    return r.select("ref", "way").join(found, "ref", "left").select("ref", "target", F.coalesce("stage", F.when(F.col("way") == "plain", "unresolved").otherwise("refused")).alias("stage"))
+    whole = whole.groupBy("name").agg(F.collect_list(F.struct("language", "n", "low", "high")).alias("whole"))
+    names = cut_table(files.join(whole, "name", "full"))
+
+    imports = cut_table(imported.select("path", "target_path").where("path is not null and target_path is not null").distinct())
+    few = imports.groupBy("path").agg(F.count("*").alias("n")).where((F.col("n") <= LIST) & F.lit(imports.count() <= LISTED)).select("path")
+    lists = cut_table(imports.join(few, "path", "left_semi").groupBy("path").agg(F.collect_list("target_path").alias("paths")))
+    far = cut_table(imports.join(lists, "path", "left_anti").select("path").distinct())
+
+    calls, plain, unlisted = F.col("calls"), F.col("way") == "plain", F.col("unlisted").isNotNull()
+    picked = lambda x: F.when(calls, x["call"]).otherwise(x["any"])
+    mine = lambda x: x.eqNullSafe(F.col("source"))
+
+    # A reference's own source is no target; of what else there is, one is the target.
+    others = lambda x: x["low"].isNotNull() & ((x["low"] != x["high"]) | ~mine(x["low"]))
+    one = lambda x: F.when(x["low"] == x["high"], x["low"]).when(~x["more"] & mine(x["low"]), x["high"]).when(~x["more"] & mine(x["high"]), x["low"])
+    r = r.join(_bound(bindings, defined), ["path", "name"], "left").withColumn("direct", picked(F.col("direct"))).withColumn("through", picked(F.col("through")))
+    bound = F.when(others(F.col("direct")), one(F.col("direct"))).when(others(F.col("through")), one(F.col("through")))
+    r = r.withColumn("bound", bound).drop("direct", "through")
+
+    if common.isEmpty() and far.isEmpty():
+        r = r.withColumn("own", F.lit(None).cast("struct<path:string,any:string,call:string,method:string>")).withColumn("seen", F.lit(None).cast("struct<any:struct<n:long,low:string,high:string>,call:struct<n:long,low:string,high:string>>")).withColumn("unlisted", F.lit(None).cast("boolean"))
+    else:
+        r = r.join(_unlisted(refs, defined, imports, common, far), ["path", "name"], "left")
+    r = r.join(names, "name", "left").join(F.broadcast(lists), "path", "left")  # LISTED paths at most
+
+    listed = F.get(F.filter("files", lambda x: x["path"] == F.col("path")), F.lit(0))
+    r = r.withColumn("own", F.when(unlisted, F.col("own")).otherwise(listed)).withColumn("own_target", picked(F.col("own")))
+    r = r.withColumn("own_file", F.when(calls | ~mine(F.col("own_target")), F.col("own_target")))
+
+    # A symbol has one file, so targets of several files differ.
+    r = r.withColumn("files", F.filter(F.transform("files", lambda x: F.struct(x["path"].alias("path"), picked(x).alias("target"))), lambda x: x["target"].isNotNull() & ~mine(x["target"])))
+    r = r.withColumn("paths", F.array_intersect("files.path", "paths")).withColumn("seen", picked(F.col("seen"))).withColumn("first", F.get("paths", F.lit(0)))
+    n, low, high = (F.col(f"seen.{x}") for x in ("n", "low", "high"))
+    rows = F.when((n == 1) & ~mine(low), low).when((n == 2) & mine(low), high).when((n == 2) & mine(high), low)
+    in_lists = F.when(F.size("paths") == 1, F.get(F.filter("files", lambda x: x["path"] == F.col("first")), F.lit(0))["target"])
+    r = r.withColumn("by_file", F.when(unlisted, rows).otherwise(in_lists))
+
+    r = r.withColumn("whole", F.when(~script, F.get(F.filter("whole", lambda x: x["language"] == F.col("language")), F.lit(0))))
+    n, low, high = (F.col(f"whole.{x}") for x in ("n", "low", "high"))
+    r = r.withColumn("unique", F.when((n == 1) & (calls | ~mine(low)), low).when((n == 2) & ~calls & mine(low), high).when((n == 2) & ~calls & mine(high), low))
+
+    stages = {"own_file": "own_file", "bound": "import_binding", "by_file": "imported_file", "unique": "repository"}
+    target = F.when(plain, F.coalesce(*stages)).when(F.col("way") == "method", F.col("own.method"))
+    stage = reduce(lambda c, x: c.when(plain & F.col(x[0]).isNotNull(), x[1]), stages.items(), F.when(F.col("way") == "refused", "refused")).when(plain, "unresolved")
+    return r.select("ref", target.alias("target"), stage.when(F.col("own.method").isNull(), "refused").otherwise("self_method").alias("stage"))

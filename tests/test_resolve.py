@@ -1,5 +1,8 @@
 """Import candidates, closures and the reference ladder on small cases."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import joins, resolve
@@ -80,3 +83,73 @@ def test_ladder(spark):
         "own": ("own", "own_file"), "itself": (None, "unresolved"), "recursion": ("own", "own_file"), "direct": ("x1", "import_binding"), "not callable": ("y", "import_binding"), "far": ("y", "import_binding"), "two": (None, "unresolved"), "file": ("y", "imported_file"),
         "repo": ("z", "repository"), "none": (None, "unresolved"), "null": (None, "unresolved"), "script": (None, "unresolved"), "script import": ("t", "imported_file"), "member": (None, "refused"), "self": ("m1", "self_method"), "value": (None, "refused"), "free": (None, "unresolved"),
     }
+
+
+def told(ref, symbols, bindings, imported):
+    """target, stage of one reference, from the stages' own words."""
+    _, path, name, language, kind, source, qualified, receiver = ref
+    calls = kind == "calls"
+
+    def means(p, n):
+        here = [s for s in symbols if s[1] == p and s[2] == n and p is not None and n is not None]
+        if calls and len(here) != 1:
+            here = [s for s in here if s[3] in resolve.CALLABLE]
+        return here[0][0] if len(here) == 1 else None
+
+    if qualified and language in ("typescript", "rust"):
+        methods = [s[0] for s in symbols if s[1] == path and s[2] == name and s[3] == "method"]
+        return (methods[0], "self_method") if language == "rust" and receiver == "self" and len(methods) == 1 else (None, "refused")
+    own = means(path, name)
+    if own is not None and (calls or own != source):
+        return own, "own_file"
+    for forwarded in (False, True):
+        to = {means(b[2], b[3]) for b in bindings if b[0] == path and b[1] == name and b[4] == forwarded and path is not None} - {None, source}
+        if len(to) == 1:
+            return to.pop(), "import_binding"
+        if to:
+            break
+    to = {means(b[1], name) for b in imported if b[0] == path and path is not None} - {None, source}
+    if len(to) == 1:
+        return to.pop(), "imported_file"
+    to = [s[0] for s in symbols if s[4] == language and s[2] == name and language != "typescript" and (calls or s[0] != source)]
+    return (to[0], "repository") if len(to) == 1 else (None, "unresolved")
+
+
+REFS = "ref long, path string, name string, language string, kind string, source string, qualified boolean, receiver string"
+
+
+@pytest.mark.parametrize("most, listed", [(256, 500_000), (2, 500_000), (0, 500_000), (256, 0)])
+def test_ladder_is_its_stages(spark, monkeypatch, most, listed):
+    """Names that few or many files define, files that import few or many, with repeats and nulls, against brute force."""
+    monkeypatch.setattr(resolve, "LIST", most)
+    monkeypatch.setattr(resolve, "LISTED", listed)
+    rng = random.Random(11)
+    pick = rng.choice
+    paths, languages = [f"d/{k}" for k in range(7)], ["python", "rust", "typescript"]
+    names = lambda: f"n{int(rng.random() ** 2 * 14)}"
+    symbols = [(f"s{k}", pick(paths), names(), pick(["function", "method", "constant"]), pick(languages)) for k in range(45)]
+    bindings = [(pick(paths), names(), pick(paths), names(), rng.random() < 0.4) for _ in range(260)] + [(None, "n1", "d/1", "n1", False), ("d/1", "n1", None, "n1", False), ("d/1", "n1", "d/2", None, True)]
+    bindings += bindings[:90]
+    imported = [(pick(paths), pick(paths)) for _ in range(12)] + [(None, "d/1"), ("d/1", None)]
+    refs = [(k, pick(paths + [None]), pick([names(), names(), names(), None]), pick(languages), pick(["calls", "references"]), pick([f"s{rng.randrange(45)}", "x", None]), rng.random() < 0.2, pick(["self", "x", None])) for k in range(1500)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = resolve.resolve_references(
+        df(refs, REFS), df(symbols, "id string, path string, name string, kind string, language string"), df(bindings, "path string, local string, target_path string, imported string, forwarded boolean"), df(imported, "path string, target_path string")
+    ).collect()
+    want = {r[0]: told(r, symbols, bindings, imported) for r in refs}
+    assert len(got) == len(want) and {r["ref"]: (r["target"], r["stage"]) for r in got} == want
+    assert {s for _, s in want.values()} == {"own_file", "import_binding", "imported_file", "repository", "self_method", "refused", "unresolved"}
+
+
+def test_ladder_writes_no_references(spark, monkeypatch):
+    """What is written grows with symbols, bindings and imports, not with references."""
+    tables, cut_table = [], resolve.cut_table
+    monkeypatch.setattr(resolve, "cut_table", lambda d: tables.append(cut_table(d)) or tables[-1])
+    n = 2_000
+    refs = spark.range(n).selectExpr("id AS ref", "concat('p', id % 5) AS path", "concat('n', id % 700) AS name", "'python' AS language", "'calls' AS kind", "'x' AS source", "false AS qualified", "CAST(null AS string) AS receiver")
+    symbols = spark.range(20).selectExpr("concat('s', id) AS id", "concat('p', id % 4) AS path", "concat('n', id) AS name", "'function' AS kind", "'python' AS language")
+    bindings = spark.range(n).selectExpr("'p4' AS path", "'n30' AS local", "'p1' AS target_path", "concat('n', id % 30) AS imported", "false AS forwarded")
+    imported = spark.createDataFrame([("p0", "p1"), ("p0", "p2")], "path string, target_path string")
+    stages = {r["stage"]: r["count"] for r in resolve.resolve_references(refs, symbols, bindings, imported).groupBy("stage").count().collect()}
+    assert sum(stages.values()) == n and set(stages) == {"own_file", "imported_file", "repository", "unresolved"}
+    assert max(t.count() for t in tables) <= 30
