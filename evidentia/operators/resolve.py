@@ -178,8 +178,8 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, bindings: DataFrame,
     """
     script, rust = F.col("language").isin(*SCRIPTS), F.col("language") == "rust"
     qualified = F.coalesce("qualified", F.lit(False))
-    way = F.when(qualified & (script | rust), F.when(rust & (F.col("receiver") == "self"), "method").otherwise("refused")).otherwise("plain")
-    r = refs.select("ref", "path", "name", "language", F.coalesce(F.col("kind") == "calls", F.lit(False)).alias("calls"), "source", way.alias("way"))
+    way = F.when(qualified & (script | rust), F.when(rust & (F.col("receiver") == "self"), "method").otherwise("refused")).when(F.col("kind") == "calls", "calls").otherwise("uses")
+    r = refs.select("ref", "path", "name", "language", "source", way.alias("way"))
 
     defined = cut_table(_definitions(symbols))
     common = cut_table(defined.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > LIST).select("name"))
@@ -193,7 +193,7 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, bindings: DataFrame,
     lists = cut_table(imports.join(few, "path", "left_semi").groupBy("path").agg(F.collect_list("target_path").alias("paths")))
     far = cut_table(imports.join(lists, "path", "left_anti").select("path").distinct())
 
-    calls, plain, unlisted = F.col("calls"), F.col("way") == "plain", F.col("unlisted").isNotNull()
+    calls, plain, unlisted = F.col("way") == "calls", F.col("way").isin("calls", "uses"), F.col("unlisted").isNotNull()
     picked = lambda x: F.when(calls, x["call"]).otherwise(x["any"])
     mine = lambda x: x.eqNullSafe(F.col("source"))
 
